@@ -6,10 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.leaks import leaked_items
+from sheaf.llm.packing import CAPACITY, pack
 from sheaf.llm.spans import shared_chars
 from sheaf.runtime import read
 
 
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document, or piece of one longer than a container, goes."""
+    return pack(read(spark, sf_dir, "documents"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each container with its pieces, tokens and room left over."""
+    used = p8_pack(spark, sf_dir).groupBy("container_id").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("tokens").alias("used"))
+    return used.withColumn("room", F.lit(CAPACITY) - F.col("used"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold part of a test item, with the item."""
     return leaked_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
@@ -25,5 +37,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_chars(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
+QUERIES = {"p8_pack": p8_pack, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}

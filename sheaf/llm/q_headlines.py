@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.llm.batch_index import repeats
 from sheaf.llm.ledger import Ledger, canonical_url, digest, letters_and_digits
 from sheaf.runtime import read
 
@@ -23,7 +24,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.rows().filter("n_copies >= 2").select(F.col("first_id").alias("row_id"), "n_copies")
 
 
-QUERIES = {"p6_found": p6_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines that repeat or nearly repeat one of an earlier weekly batch."""
+    return repeats(read(spark, sf_dir, "news_headlines"))
+
+
+QUERIES = {"p6_found": p6_found, "p7_found": p7_found}
 _CANON = "regexp_replace(lower(upper({})), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 ORACLE = {
     "p6_found": f"""
