@@ -7,9 +7,21 @@ from pyspark.sql import functions as F
 
 from sheaf.llm.batch_index import repeats
 from sheaf.llm.ledger import Ledger, canonical_url, digest, letters_and_digits
+from sheaf.llm.mojibake import garbled, restore
 from sheaf.runtime import read
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines whose title was read with the wrong encoding, or lost characters in one."""
+    return garbled(read(spark, sf_dir, "news_headlines"), "row_id", ["title"], "domain").select("row_id").distinct()
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the likeliest misreading and, where nothing was lost, the title as first written."""
+    news = read(spark, sf_dir, "news_headlines")
+    return restore(news, garbled(news, "row_id", ["title"], "domain"), "row_id", "title")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of headlines that are one article but for formatting: the first row and the number of copies.
 
@@ -29,7 +41,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(read(spark, sf_dir, "news_headlines"))
 
 
-QUERIES = {"p6_found": p6_found, "p7_found": p7_found}
+QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p7_found": p7_found}
 _CANON = "regexp_replace(lower(upper({})), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 ORACLE = {
     "p6_found": f"""
