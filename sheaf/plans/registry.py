@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sheaf.plans import point_in_time
+from sheaf.plans import point_in_time, prices, reports, weather
 
-_MODULES = [point_in_time]
+_MODULES = [prices, point_in_time, reports, weather]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "backtest_summary"
