@@ -299,15 +299,21 @@ def _periods(low: Column, high: Column) -> Column:
     return F.sequence(F.floor(low / PERIODS).cast("long"), F.floor(high / PERIODS).cast("long"))
 
 
-def titles_of(rows: DataFrame, reach: int) -> DataFrame:
-    """(g, tk, sig, words): each title once for each period that its dates, and those up to `reach` spans off, touch."""
-    per = rows.groupBy("tk", "span").agg(F.first("words").alias("words")).mapInPandas(_signatures, "tk long, span int, words string, sig long")
-    return per.select(F.explode(_periods(F.col("span") - reach, F.col("span") + reach)).alias("g"), "tk", "sig", "words").distinct()
+def titles_of(rows: DataFrame) -> DataFrame:
+    """(tk, words, sig, spans): each title once, with the spans its dates lie in."""
+    per = rows.groupBy("tk").agg(F.first("words").alias("words"), F.collect_set("span").alias("spans"))
+    return per.mapInPandas(_signatures, "tk long, words string, spans array<int>, sig long")
+
+
+def entries(titles: DataFrame, reach: int) -> DataFrame:
+    """(g, tk, sig, words): each title for each period that its dates, and those up to `reach` spans off, touch."""
+    periods = F.array_distinct(F.flatten(F.transform("spans", lambda x: _periods(x - reach, x + reach))))
+    return titles.select(F.explode(periods).alias("g"), "tk", "sig", "words")
 
 
 def linked(titles: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) of found that are within EDITS edits."""
-    words = titles.select("tk", "words").distinct()
+    """The pairs (a, b) of found that are within EDITS edits; titles has each tk once."""
+    words = titles.select("tk", "words")
     both = found.join(words.withColumnsRenamed({"tk": "a", "words": "wa"}), "a").join(words.withColumnsRenamed({"tk": "b", "words": "wb"}), "b")
     return both.select("a", "b", "wa", "wb").mapInPandas(_verified, "a long, b long")
 
@@ -344,10 +350,10 @@ def matched_by_id(rows: DataFrame, history: DataFrame, row_id: str, batch: str,
 def repeats(rows: DataFrame, row_id: str = "row_id", batch: str = "batch_id", own_id: str = "article_id", title: str = "title", at: str = "gkg_date", hot: int = HOT) -> DataFrame:
     """(row_id): rows that repeat or nearly repeat a row of an earlier batch, for all batches at once."""
     own = title_rows(rows, row_id, batch, title, at)
+    titles = stored(titles_of(own), "titles")
     # the index side reaches one span to each side, so the probe needs its own span only
-    indexed, probing = titles_of(own, 1), titles_of(own, 0)
-    found, cliques = candidates(indexed, probing, list(range(EDITS + 1)), hot)
-    one_way = linked(probing, found)
+    found, cliques = candidates(entries(titles, 1), entries(titles, 0), list(range(EDITS + 1)), hot)
+    one_way = linked(titles, found)
     links = stored(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     by_title = matched_by_title(own, own, links, cliques)
     return by_title.unionByName(matched_by_id(rows, rows, row_id, batch, own_id)).distinct().withColumnRenamed("row_id", row_id)
@@ -367,9 +373,9 @@ class BatchIndex:
         if self.rows is None:
             return new.select(row_id).limit(0)
         own, old = (title_rows(x, row_id, batch, title, at) for x in (new, self.rows))
-        probing = titles_of(own, 0)
-        found, cliques = candidates(self.titles, probing, list(range(-EDITS, EDITS + 1)), hot)
-        links = linked(probing.unionByName(self.titles), found)
+        titles = stored(titles_of(own), "titles")
+        found, cliques = candidates(entries(self.titles, 1), entries(titles, 0), list(range(-EDITS, EDITS + 1)), hot)
+        links = linked(titles.unionByName(self.titles).dropDuplicates(["tk"]), found)
         hits = matched_by_title(own, old, stored(links, "links"), cliques)
         return hits.unionByName(matched_by_id(new, self.rows, row_id, batch, own_id)).distinct().withColumnRenamed("row_id", row_id)
 
@@ -377,7 +383,7 @@ class BatchIndex:
         """Takes the batch into history; only the batch is read and written."""
         row_id, batch, own_id, title, at = self.names
         rows = stored(new.select(row_id, batch, own_id, title, at), "history")
-        titles = stored(titles_of(title_rows(rows, row_id, batch, title, at), 1), "titles")
+        titles = stored(titles_of(title_rows(rows, row_id, batch, title, at)), "titles")
         self.rows = rows if self.rows is None else self.rows.unionByName(rows)
         self.titles = titles if self.titles is None else self.titles.unionByName(titles)
         return self
