@@ -29,6 +29,7 @@ import functools
 import math
 import random
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -38,10 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-CELLS = 1 << 24
+CELLS = 1 << 23
 _SHIFTS = (0, 26, 52, 78, 104)
 TRAIN_TEXTS = 240
 MAX_EDITS = 2
+REPEATED = 4  # texts in which a line has to stand before it counts as repeated
 PAGE_WIDTH = 100  # a longer line isn't one of a scanned page
 # What was written and what scanning reads instead.
 CONFUSIONS = [
@@ -134,6 +136,11 @@ def letters(line: str) -> str:
     return re.sub(r"[^a-z]", "", re.sub(r"page|continued", "", _DATE.sub("", line).lower()))
 
 
+def doubtful(line: str) -> bool:
+    """Whether a line may be furniture: none has three running words in lower case."""
+    return 0 < len(line.strip()) <= PAGE_WIDTH and (len(_RUNNING.findall(line)) < 3 or bool(_MARKS.search(line)))
+
+
 def words_of(text: str) -> list[str]:
     out = []
     for t in _TOKEN.findall(text):
@@ -177,7 +184,7 @@ def line_features(lines: list[str], i: int, width: int, seen: int, clean: int) -
 
 
 def labelled(features: list[str], labels: list[str]) -> list[list[str]]:
-    return [[f"{x}|{f}" for f in features] for x in labels]
+    return [[sys.intern(f"{x}|{f}") for f in features] for x in labels]
 
 
 _LINE_LABELS = ["body", "header", "pageno"]
@@ -341,7 +348,7 @@ def train(texts: list[str], rows: list[str], sketch: Sketch, seed: int = 7) -> d
         width = max(map(len, raw), default=0)
         for i, (x, label) in enumerate(page):
             if x.strip():
-                seen = rng.choice([1, 2, 2, 3, 4, 5]) if label == "header" else 5 if label == "pageno" else rng.choice([1, 2, 2, 2])
+                seen = rng.choice([0, 3, 3, 4, 5]) if label == "header" else 5 if label == "pageno" else rng.choice([0, 0, 0, 0, 0, 3])
                 examples.append((lines, labelled(line_features(raw, i, width, seen, 0), _LINE_LABELS), _LINE_LABELS.index(label)))
         for left, sign, right, label in divided:
             a, b = left.split()[-1] if left.split() else left, right.split()[0]
@@ -383,7 +390,7 @@ def train(texts: list[str], rows: list[str], sketch: Sketch, seed: int = 7) -> d
         for i, (x, label) in enumerate(out):
             if x.strip():
                 clean = 1 if label == "body" and rng.random() < 0.9 else 0
-                examples.append((lines, labelled(line_features(raw, i, width, rng.choice([1, 2, 3, 4, 5]) if label == "header" else rng.choice([0, 1, 5]), clean), _LINE_LABELS), _LINE_LABELS.index(label)))
+                examples.append((lines, labelled(line_features(raw, i, width, rng.choice([0, 3, 3, 4, 5]) if label == "header" else rng.choice([0, 3, 5]), clean), _LINE_LABELS), _LINE_LABELS.index(label)))
     for _ in range(6):
         rng.shuffle(examples)
         for model, cands, right in examples:
@@ -420,8 +427,7 @@ class Editor:
         return token
 
     def label(self, lines: list[str], i: int, width: int) -> str:
-        # running words on a line of their own settle it: no furniture has three in lower case
-        if len(_RUNNING.findall(lines[i])) >= 3 and not _MARKS.search(lines[i]):
+        if not doubtful(lines[i]):
             return "body"
         key = letters(lines[i])
         seen, clean = self.like(key) if key else (5, 0)
@@ -516,10 +522,10 @@ def fit(texts: DataFrame, clean_also: DataFrame | None = None, train_texts: int
             n: Counter = Counter()
             for text, scanned in zip(pdf.text, pdf.scanned, strict=True):
                 if scanned:
-                    n.update({"s" + k for x in text.split("\n") if len(x) <= PAGE_WIDTH and (k := letters(x))})
+                    n.update({"s" + k for x in text.split("\n") if doubtful(x) and (k := letters(x))})
                 else:
                     n.update("w" + w for w in words_of(text))
-                    n.update({"c" + k for x in text.split("\n") if len(x) <= PAGE_WIDTH and (k := letters(x))})
+                    n.update({"c" + k for x in text.split("\n") if is_row(x) and (k := letters(x))})
             yield pd.DataFrame({"key": list(n), "n": list(n.values())})
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -529,6 +535,8 @@ def fit(texts: DataFrame, clean_also: DataFrame | None = None, train_texts: int
 
     whole = texts.select("text", "scanned") if clean_also is None else texts.select("text", "scanned").unionByName(clean_also.select("text", F.lit(False).alias("scanned")))
     counts = whole.filter("text is not null").mapInPandas(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # lines of few texts say nothing; without them the sketch holds words and what is repeated
+    counts = counts.filter(~F.col("key").startswith("s") | (F.col("n") >= REPEATED))
     cells = np.zeros(CELLS, dtype=np.uint8)
     filled = counts.mapInPandas(place, "cell int, level int").groupBy("cell").agg(F.max("level").alias("level")).toPandas()  # at most CELLS rows
     cells[filled.cell] = filled.level
