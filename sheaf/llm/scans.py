@@ -526,7 +526,8 @@ def fit(texts: DataFrame, clean_also: DataFrame | None = None, train_texts: int
                 else:
                     n.update("w" + w for w in words_of(text))
                     n.update({"c" + k for x in text.split("\n") if is_row(x) and (k := letters(x))})
-            yield pd.DataFrame({"key": list(n), "n": list(n.values())})
+            if n:
+                yield pd.DataFrame({"key": list(n), "n": list(n.values())})
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
