@@ -25,17 +25,17 @@ from sheaf.runtime import fresh_path
 
 
 def letters_and_digits(text: Column) -> Column:
-    """text without anything but letters and digits, case folded (upper first, so that ß meets SS)."""
-    return F.regexp_replace(F.lower(F.upper(text)), "[^\\p{L}\\p{N}]+", "")
+    """text without anything but letters and digits, in lower case, ß as the SS of its upper case."""
+    return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), "[^\\p{L}\\p{N}]+", "")
 
 
 def canonical_url(url: Column) -> Column:
-    """The letters and digits of a url, its query parameters in sorted order."""
+    """The letters and digits of a url, its query parameters in sorted order; null for null."""
     mark = F.instr(url, "?")
     path = F.when(mark > 0, F.substring(url, F.lit(1), mark - 1)).otherwise(url)
     query = F.when(mark > 0, F.substring(url, mark + 1, F.length(url))).otherwise(F.lit(""))
     params = F.array_sort(F.transform(F.split(query, "[&;]"), letters_and_digits))
-    return F.concat_ws("", letters_and_digits(path), F.array_join(params, ""))
+    return F.when(url.isNotNull(), F.concat(letters_and_digits(path), F.array_join(params, "")))
 
 
 def digest(*parts: Column) -> Column:

@@ -42,7 +42,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p7_found": p7_found}
-_CANON = "regexp_replace(lower(upper({})), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_CANON = "regexp_replace(replace(lower({}), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 ORACLE = {
     "p6_found": f"""
  WITH k AS (SELECT row_id, {_CANON.format('title')} AS t, {_CANON.format("split_part(url, '?', 1)")} AS u,

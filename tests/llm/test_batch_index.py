@@ -21,7 +21,7 @@ def distance(a, b):
 
 def by_hand(rows):
     split = lambda t: None if t is None else [w.lower() for w in re.findall(r"[^\W_]+", t)]
-    key = lambda x: re.sub(r"[\W_]+", "", (x or "").upper().lower())
+    key = lambda x: re.sub(r"[\W_]+", "", (x or "").lower().replace("ß", "ss"))
     cut = [(r[0], r[1], key(r[2]), split(r[3]), r[4]) for r in rows]
     out = set()
     for r, b, k, w, at in cut:
