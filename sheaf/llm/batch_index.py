@@ -3,20 +3,25 @@
 Titles are sequences of words. The index cuts each title of L words into EDITS + 1 segments
 at fixed places and stores them by length, segment number and content; of two titles within
 EDITS edits at least one segment of the one stands in the other, shifted by no more than
-the edits before and after it allow. A new title probes only those few substrings, what
-meets is tested by its word signature and verified by a bounded edit distance, and the
-batch's own segments are appended. Segments carry the period of their dates, so that only
-periods within reach meet.
-
-A full run does the same for all batches at once: every title is indexed and probed, each
-pair of titles is found from its longer side, and a row matches where the other title has
-an earlier batch within the days allowed. Equal titles are one class; of a class only the
-first and last date of each span and batch are kept, which decides the date test exactly:
-copies are never paired. A segment that more than HOT titles share isn't joined: under it,
-its titles are indexed again by segments of the words on its two sides, and so on until
-the keys are selective or at most EDITS words are left on either side of a pair, when all
-of the group are within EDITS edits and are treated as one class. So no group is paired
-within itself.
+the edits before and after it allow. A batch's own segments are appended to the index, then
+its titles probe only those few substrings; what meets is tested by its word signature and
+verified by a bounded edit distance. Equal titles are one class, of which only the first and
+last date of each span and batch are kept, which decides the date test exactly: copies are
+never paired.
+
+The index is four tables in one folder, which any session can open: segments, titles, dates
+and ids, bucketed by the column they are met by and partitioned by the period of their dates
+and by the load that brought them. A load reads only the periods within reach of its own
+dates, and shuffles only its own rows: the work for a batch follows the batch and the
+history of its periods, not the history. (Ids have no date: their two narrow columns are
+read whole.) A load counts once the manifest names it; what a failed one has left is
+deleted by the next. A load may hold several batches, as a row matches earlier batches only.
+
+A segment that more than HOT titles share isn't joined: under it, its titles are indexed
+again by segments of the words on its two sides, and so on until the keys are selective or
+at most EDITS words are left on either side of a pair, when all of the group are within
+EDITS edits and are treated as one class. So no group is paired within itself, and no pair
+is lost.
 
 Defined results: null titles match nothing by title, titles without words do as empty
 sequences; a null id matches nothing, nor does one without letters and digits; null dates
@@ -26,20 +31,22 @@ follow the same rules; whole titles are used at any length.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.ledger import letters_and_digits
-from sheaf.runtime import DAY_US, stored
+from sheaf.llm.ledger import letters_and_digits, loads
+from sheaf.runtime import DAY_US, BucketTable, Scratch, exists, fresh_path, get_text, put_text, remove, stored
 
 EDITS = 2
 DAYS = 10
 HOT = 1000
 PERIODS = 3  # an index period is as many spans of DAYS days
+MOST_PRUNED = 2000  # with more periods than that in a load, the index is read whole
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,7 +107,7 @@ def _word_hash(word: str, seen: dict[str, int]) -> int:
 
 
 def _level0(indexing: bool, shorter: list[int]):
-    """Rows (key, tk, sig, path-free places) of index entries, or of probes for indexed lengths shorter by so many words."""
+    """Rows (key, tk, sig, place) of index entries, or of probes for indexed lengths shorter by so many words; a place is an indexed length, a segment's number and a start."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, int] = {}
@@ -118,19 +125,19 @@ def _level0(indexing: bool, shorter: list[int]):
                     up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]), dtype=np.uint64)
                     down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, np.uint64(pow(int(_BASE), -1, 2**64)))]), dtype=np.uint64)
                     sums = np.concatenate([np.zeros((len(at), 1), dtype=np.uint64), np.cumsum(h * up[:n], axis=1, dtype=np.uint64)], axis=1)
-                    group = pdf.g.to_numpy()[at].astype(np.uint64)
+                    group = pdf.g.to_numpy()[at].astype(np.int64).astype(np.uint64)
                     wanted = [(n, i, s, e) for i, (s, e) in enumerate(segments(n))] if indexing else [(n - d, i, s, e) for d in shorter if n - d > 0 for i, s, e in substrings(n, n - d)]
                     for of, i, s, e in wanted:
                         slot = np.uint64(of * 8 + (i if of > EDITS else 7))
                         key = _mix(_mix((sums[:, e] - sums[:, s]) * down[s] + slot * np.uint64(0x632BE59BD9B4E019)) + group)
-                        out.append(pd.DataFrame({"key": key.astype(np.int64), "tk": pdf.tk.to_numpy()[at], "sig": pdf.sig.to_numpy()[at], "of": np.int32(of), "i": np.int32(i), "p": np.int32(s)}))
+                        out.append(pd.DataFrame({"key": key.astype(np.int64), "tk": pdf.tk.to_numpy()[at], "sig": pdf.sig.to_numpy()[at], "place": np.int64(of << 36 | i << 32 | s), "g": group.astype(np.int32)}))
             if out:
                 yield pd.concat(out, ignore_index=True)
 
     return run
 
 
-_LEVEL0 = "key long, tk long, sig long, of int, i int, p int"
+_LEVEL0 = "key long, tk long, sig long, place long, g int"
 
 
 def chunks(n_index: int, n_own: int, used: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -187,11 +194,11 @@ _DEEPER = "key long, tk long, sig long, words string, of int, used string"
 
 def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        used = []
-        for of, i, p in zip(pdf.of, pdf.i, pdf.p, strict=True):
-            s, e = segments(of)[i]
-            used.append(f"{s},{e},{p}")
-        yield pd.DataFrame({"g": pdf.key, "tk": pdf.tk, "sig": pdf.sig, "words": pdf.words, "of": pdf.of, "used": used})
+        of, used = pdf.place.to_numpy() >> 36, []
+        for n, x in zip(of, pdf.place, strict=True):
+            s, e = segments(int(n))[x >> 32 & 15]
+            used.append(f"{s},{e},{x & 0xFFFFFFFF}")
+        yield pd.DataFrame({"g": pdf.key, "tk": pdf.tk, "sig": pdf.sig, "words": pdf.words, "of": of, "used": used})
 
 
 def covers(lengths: list[int]) -> list[tuple[int, ...]]:
@@ -243,27 +250,22 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[ok, ["a", "b"]]
 
 
-def index_entries(titles: DataFrame) -> DataFrame:
-    """Segments of titles (g, tk, sig, words), as they are appended to an index."""
-    return titles.select("g", "tk", "sig", "words").mapInPandas(_level0(True, []), _LEVEL0)
-
-
 def probe_entries(titles: DataFrame, shorter: list[int]) -> DataFrame:
     """Substrings of titles (g, tk, sig, words) to be met with an index."""
-    return titles.select("g", "tk", "sig", "words").mapInPandas(_level0(False, shorter), _LEVEL0)
+    return titles.select("g", "tk", "sig", "words").mapInPandas(_level0(False, shorter), _LEVEL0).drop("g")
 
 
-def candidates(indexed: DataFrame, probing: DataFrame, shorter: list[int], hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def candidates(segs: DataFrame, known: DataFrame, probing: DataFrame, scratch: Scratch, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """((a, b) titles that share a segment and may be within EDITS edits, (g, tk) groups all of whose titles are).
 
-    indexed and probing are (g, tk, sig, words). If they hold the same titles, shorter is
-    [0, 1, 2], as each pair is met from its longer side; a batch against history takes -2 to 2.
+    segs: index entries, bucketed by key. known: the (g, tk, words) of their titles. probing:
+    (g, tk, sig, words), which segs and known hold too. a probes, b is in the index.
     """
     short = F.size(F.filter(F.split("words", " "), lambda w: w != "")) <= EDITS
-    cliques = [x.filter(short).select("g", "tk") for x in (indexed, probing)]
-    sides, pairs, depth = [index_entries(indexed), probe_entries(probing, shorter)], None, 0
+    cliques = [known.filter(short).select("g", "tk")]
+    sides, pairs, depth = [segs, probe_entries(probing, list(range(-EDITS, EDITS + 1)))], None, 0
     while True:
-        crowded = stored(sides[0].groupBy("key").count().filter(F.col("count") > hot).select("key"), "crowded")
+        crowded = stored(sides[0].groupBy("key").count().filter(F.col("count") > hot).select("key"), "crowded", scratch)
         some = bool(crowded.take(1))
         left, right = (x.join(crowded, "key", "left_anti") if some else x for x in sides)
         met = left.select("key", F.col("tk").alias("b"), F.col("sig").alias("sb")).join(right.select("key", F.col("tk").alias("a"), F.col("sig").alias("sa")), "key")
@@ -272,27 +274,20 @@ def candidates(indexed: DataFrame, probing: DataFrame, shorter: list[int], hot:
         if not some:
             break
         groups = []
-        for x, titles in zip(sides, (indexed, probing), strict=True):
+        for x, titles in zip(sides, (known, probing), strict=True):
             again = x.join(crowded, "key", "left_semi")
             if depth == 0:
-                again = again.join(titles.select("tk", "words").distinct(), "tk").mapInPandas(_paths, "g long, tk long, sig long, words string, of int, used string")
+                again = again.join(titles.select("tk", "words").dropDuplicates(["tk"]), "tk").select("key", "tk", "sig", "words", "place").mapInPandas(_paths, "g long, tk long, sig long, words string, of int, used string")
             else:
                 again = again.withColumnRenamed("key", "g")
-            groups.append(stored(again, "groups"))
+            groups.append(stored(again, "groups", scratch))
         cliques += [x.mapInPandas(_tiny, "g long, tk long") for x in groups]
         sides = [x.mapInPandas(_deeper(k == 0), _DEEPER) for k, x in enumerate(groups)]
         depth += 1
     flat = cliques[0]
     for c in cliques[1:]:
         flat = flat.unionByName(c)
-    return pairs.distinct(), flat.distinct()
-
-
-def title_rows(rows: DataFrame, row_id: str, batch: str, title: str, at: str) -> DataFrame:
-    """(row_id, batch, us, span, tk, words) of the rows that can match by title; span counts DAYS days."""
-    us = F.unix_micros(F.col(at))
-    x = rows.select(F.col(row_id).alias("row_id"), F.col(batch).alias("batch"), us.alias("us"), word_text(F.col(title)).alias("words")).filter("batch is not null and us is not null and words is not null")
-    return x.withColumn("tk", F.xxhash64("words")).withColumn("span", F.floor(F.col("us") / (DAYS * DAY_US)).cast("int"))
+    return pairs, flat.distinct()
 
 
 def _periods(low: Column, high: Column) -> Column:
@@ -311,79 +306,118 @@ def entries(titles: DataFrame, reach: int) -> DataFrame:
     return titles.select(F.explode(periods).alias("g"), "tk", "sig", "words")
 
 
-def linked(titles: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) of found that are within EDITS edits; titles has each tk once."""
-    words = titles.select("tk", "words")
-    both = found.join(words.withColumnsRenamed({"tk": "a", "words": "wa"}), "a").join(words.withColumnsRenamed({"tk": "b", "words": "wb"}), "b")
+def linked(known: DataFrame, titles: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+    """The pairs (a, b) of found that are within EDITS edits; known (bucketed by tk) has the words of b, titles those of a."""
+    once = found.repartition(buckets, "b").distinct()  # found in several places; the distinct needs no shuffle of its own
+    words = lambda x, tk, w: x.select(F.col("tk").alias(tk), F.col("words").alias(w))
+    both = once.join(words(known.groupBy("tk").agg(F.first("words").alias("words")), "b", "wb"), "b").join(words(titles, "a", "wa"), "a")
     return both.select("a", "b", "wa", "wb").mapInPandas(_verified, "a long, b long")
 
 
-def matched_by_title(rows: DataFrame, history: DataFrame, links: DataFrame, cliques: DataFrame) -> DataFrame:
-    """row_ids of rows for which history has an earlier batch of an equal or linked title within DAYS days.
+def matched_by_title(rows: DataFrame, dates: DataFrame, links: DataFrame, cliques: DataFrame) -> DataFrame:
+    """row_ids of rows for which dates has an earlier batch of an equal or linked title within DAYS days.
 
-    links: (tk of rows, tk of history). A group of cliques stands for one title.
+    dates: (tk, span, batch, lo, hi). links: (tk of rows, tk of dates). A group of cliques stands for one title.
     """
-    part = lambda x: x.select("row_id", "batch", "us", "span", "tk")
-    grouped = cliques.select(F.col("tk"), F.xxhash64(F.lit("group"), "g").alias("c"))
-    groups = grouped.select("tk", "c").distinct()
-    known = part(history).drop("row_id").unionByName(history.join(groups, "tk").select("batch", "us", "span", F.col("c").alias("tk")))
-    spans = known.groupBy("tk", "span", "batch").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+    groups = cliques.select("tk", F.xxhash64(F.lit("group"), "g").alias("c")).distinct()
+    spans = dates.unionByName(dates.join(groups, "tk").select(F.col("c").alias("tk"), "span", "batch", "lo", "hi")).groupBy("tk", "span", "batch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     near = spans.select("tk", F.explode(F.array(*[F.struct((F.col("span") - d).alias("span"), F.lit(d).alias("rel")) for d in (-1, 0, 1)])).alias("x"), "batch", "lo", "hi").select("tk", "x.*", "batch", "lo", "hi")
     # what a title meets: itself, the titles linked to it, its groups
-    meets = links.select(F.col("a").alias("own"), F.col("b").alias("tk")).unionByName(groups.select(F.col("tk").alias("own"), F.col("c").alias("tk"))).distinct()
+    meets = links.select(F.col("a").alias("own"), F.col("b").alias("tk")).unionByName(groups.select(F.col("tk").alias("own"), F.col("c").alias("tk")))
     seen = near.withColumnRenamed("tk", "own").unionByName(near.join(meets, "tk").select("own", "span", "rel", "batch", "lo", "hi"))
     seen = seen.groupBy("own", "span", "rel", "batch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     seen = seen.groupBy("own", "span").agg(F.collect_list(F.struct("rel", "batch", "lo", "hi")).alias("seen"))
     reach = F.lit(DAYS * DAY_US)
     hit = F.exists("seen", lambda s: (s["batch"] < F.col("batch")) & ((s["rel"] == 0) | ((s["rel"] == -1) & (s["hi"] >= F.col("us") - reach)) | ((s["rel"] == 1) & (s["lo"] <= F.col("us") + reach))))
-    return part(rows).join(seen.withColumnRenamed("own", "tk"), ["tk", "span"]).filter(hit).select("row_id")
-
-
-def matched_by_id(rows: DataFrame, history: DataFrame, row_id: str, batch: str, own_id: str) -> DataFrame:
-    """row_ids of rows whose id, formatting aside, an earlier batch of history has."""
-    key = F.xxhash64(letters_and_digits(F.col(own_id)))
-    cut = lambda x: x.select(F.col(row_id).alias("row_id"), F.col(batch).alias("batch"), F.when(letters_and_digits(F.col(own_id)) != "", key).alias("key")).filter("key is not null and batch is not null")
-    first = cut(history).groupBy("key").agg(F.min("batch").alias("first"))
-    return cut(rows).join(first, "key").filter("first < batch").select("row_id")
-
-
-def repeats(rows: DataFrame, row_id: str = "row_id", batch: str = "batch_id", own_id: str = "article_id", title: str = "title", at: str = "gkg_date", hot: int = HOT) -> DataFrame:
-    """(row_id): rows that repeat or nearly repeat a row of an earlier batch, for all batches at once."""
-    own = title_rows(rows, row_id, batch, title, at)
-    titles = stored(titles_of(own), "titles")
-    # the index side reaches one span to each side, so the probe needs its own span only
-    found, cliques = candidates(entries(titles, 1), entries(titles, 0), list(range(EDITS + 1)), hot)
-    one_way = linked(titles, found)
-    links = stored(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    by_title = matched_by_title(own, own, links, cliques)
-    return by_title.unionByName(matched_by_id(rows, rows, row_id, batch, own_id)).distinct().withColumnRenamed("row_id", row_id)
+    return rows.join(seen.withColumnRenamed("own", "tk"), ["tk", "span"]).filter(hit).select("row_id")
 
 
 class BatchIndex:
-    """Accepted history: its rows' titles and ids, and the segments of its titles, stored and appended batch by batch."""
-
-    def __init__(self, spark, row_id: str = "row_id", batch: str = "batch_id", own_id: str = "article_id", title: str = "title", at: str = "gkg_date") -> None:
-        self.names = (row_id, batch, own_id, title, at)
-        self.rows: DataFrame | None = None
-        self.titles: DataFrame | None = None
-
-    def check(self, new: DataFrame, hot: int = HOT) -> DataFrame:
-        """(row_id): rows of the batch that repeat history."""
-        row_id, batch, own_id, title, at = self.names
-        if self.rows is None:
-            return new.select(row_id).limit(0)
-        own, old = (title_rows(x, row_id, batch, title, at) for x in (new, self.rows))
-        titles = stored(titles_of(own), "titles")
-        found, cliques = candidates(entries(self.titles, 1), entries(titles, 0), list(range(-EDITS, EDITS + 1)), hot)
-        links = linked(titles.unionByName(self.titles).dropDuplicates(["tk"]), found)
-        hits = matched_by_title(own, old, stored(links, "links"), cliques)
-        return hits.unionByName(matched_by_id(new, self.rows, row_id, batch, own_id)).distinct().withColumnRenamed("row_id", row_id)
-
-    def append(self, new: DataFrame) -> BatchIndex:
-        """Takes the batch into history; only the batch is read and written."""
-        row_id, batch, own_id, title, at = self.names
-        rows = stored(new.select(row_id, batch, own_id, title, at), "history")
-        titles = stored(titles_of(title_rows(rows, row_id, batch, title, at)), "titles")
-        self.rows = rows if self.rows is None else self.rows.unionByName(rows)
-        self.titles = titles if self.titles is None else self.titles.unionByName(titles)
-        return self
+    """Accepted history as segments, titles, dates and ids, in a folder that any session can open."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, row_id: str = "row_id", batch: str = "batch_id", own_id: str = "article_id", title: str = "title", at: str = "gkg_date", buckets: int | None = None) -> None:
+        self.spark, self.path = spark, path or fresh_path(spark, "index")
+        self.about = {"names": [row_id, batch, own_id, title, at], "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "loads": 0, "kind": None}
+        self._attach()
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> BatchIndex:
+        """The index that an earlier session left in a folder."""
+        own = cls.__new__(cls)
+        own.spark, own.path, own.about = spark, path, json.loads(get_text(spark, f"{path}/_manifest.json"))
+        own._attach()
+        return own
+
+    def _attach(self) -> None:
+        for x in ("segments", "titles", "dates", "ids"):  # what a failed load may have left
+            base = f"{self.path}/{x}/load={self.about['loads'] + 1}"
+            if exists(self.spark, base):
+                remove(self.spark, base)
+        table = lambda name, schema, parts, key: BucketTable(self.spark, f"{self.path}/{name}", f"{schema}, {', '.join(f'{p} int' for p in parts)}", parts, key, self.about["buckets"])
+        self.segments = table("segments", "key long, tk long, sig long, place long", ["load", "g"], "key")
+        self.titles = table("titles", "tk long, words string", ["load", "g"], "tk")
+        self.dates = table("dates", "tk long, span int, batch int, lo long, hi long", ["load", "g"], "tk")
+        self.ids = table("ids", "key long, first int", ["load"], "key")
+
+    def load(self, new: DataFrame, hot: int = HOT) -> DataFrame:
+        """Takes rows of one or more batches into the index; (row_id): those that repeat or nearly repeat a row of an earlier batch."""
+        row_id, batch, own_id, title, at = self.about["names"]
+        buckets, number = self.about["buckets"], self.about["loads"] + 1
+        with Scratch(self.spark) as scratch:
+            wide = new.select(F.col(row_id).alias("row_id"), F.col(batch).alias("batch"), F.unix_micros(F.col(at)).alias("us"), word_text(F.col(title)).alias("words"), F.xxhash64(letters_and_digits(F.col(own_id))).alias("idk"), (letters_and_digits(F.col(own_id)) != "").alias("has_id")).filter("batch is not null")
+            wide = stored(wide.withColumns({"tk": F.xxhash64("words"), "span": F.floor(F.col("us") / (DAYS * DAY_US)).cast("int")}), "rows", scratch)
+            own = wide.filter("us is not null and words is not null").select("row_id", "batch", "us", "span", "tk", "words")
+            keyed = wide.filter("has_id").select("row_id", "batch", F.col("idk").alias("key"))
+            self._append(own, keyed, number, scratch)
+            result = stored(self._matches(own, keyed, number, hot, scratch), "repeats")
+        self.about["loads"] = number
+        put_text(self.spark, f"{self.path}/_manifest.json", json.dumps(self.about))
+        return result.withColumnRenamed("row_id", row_id)
+
+    def _append(self, own: DataFrame, keyed: DataFrame, number: int, scratch: Scratch) -> None:
+        buckets, load = self.about["buckets"], F.lit(number)
+        self.new = stored(titles_of(own), "titles", scratch)
+        period = F.floor(F.col("span") / PERIODS).cast("int")
+        # the index side reaches one span to each side, so that a probe needs its own span only
+        reach = entries(self.new, 1)
+        segs = reach.select("g", "tk", "sig", "words").mapInPandas(_level0(True, []), _LEVEL0)
+        self.segments.append(segs.repartition(buckets, "key").withColumn("load", load))
+        self.titles.append(reach.select("tk", "words", F.col("g").cast("int").alias("g")).repartition(buckets, "tk").withColumn("load", load))
+        dates = own.groupBy("tk", "span", "batch").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+        self.dates.append(dates.repartition(buckets, "tk").withColumns({"batch": F.col("batch").cast("int"), "g": period, "load": load}))
+        self.ids.append(keyed.groupBy("key").agg(F.min("batch").cast("int").alias("first")).repartition(buckets, "key").withColumn("load", load))
+
+    def _matches(self, own: DataFrame, keyed: DataFrame, number: int, hot: int, scratch: Scratch) -> DataFrame:
+        titles, buckets = self.new, self.about["buckets"]
+        probing = stored(entries(titles, 0), "probing", scratch)
+        periods = [r.g for r in probing.select("g").distinct().limit(MOST_PRUNED + 1).collect()]
+
+        def held(table: BucketTable, reach: int) -> DataFrame:
+            df = table.read().filter(F.col("load") <= number)
+            wanted = sorted({p + d for p in periods for d in range(-reach, reach + 1)})
+            return df.filter(F.col("g").isin(wanted)) if len(periods) <= MOST_PRUNED else df
+
+        known = held(self.titles, 0).select("g", "tk", "words")
+        found, cliques = candidates(held(self.segments, 0).select("key", "tk", "sig", "place"), known, probing, scratch, hot)
+        links = stored(linked(known, titles, found, buckets), "links", scratch)
+        by_title = matched_by_title(own, held(self.dates, 1).select("tk", "span", "batch", "lo", "hi"), links, cliques)
+        first = self.ids.read().filter(F.col("load") <= number).groupBy("key").agg(F.min("first").alias("first"))
+        by_id = keyed.join(first, "key").filter("first < batch").select("row_id")
+        return by_title.unionByName(by_id).distinct()
+
+    def drop(self) -> None:
+        for t in (self.segments, self.titles, self.dates, self.ids):
+            t.close()
+        remove(self.spark, self.path)
+
+
+def repeats(rows: DataFrame, row_id: str = "row_id", batch: str = "batch_id", own_id: str = "article_id", title: str = "title", at: str = "gkg_date", hot: int = HOT, per_load: int = 1) -> DataFrame:
+    """(row_id): rows that repeat or nearly repeat a row of an earlier batch; the batches go into an index in order, per_load of them at a time."""
+    index, out = BatchIndex(rows.sparkSession, None, row_id, batch, own_id, title, at), None
+    try:
+        for part in loads(rows, batch, per_load):
+            got = index.load(rows.filter(part), hot)
+            out = got if out is None else out.unionByName(got)
+    finally:
+        index.drop()
+    return out.distinct()

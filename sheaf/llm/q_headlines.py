@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.batch_index import repeats
-from sheaf.llm.ledger import Ledger, canonical_url, digest, letters_and_digits
+from sheaf.llm.ledger import Ledger, canonical_url, digest, letters_and_digits, loads
 from sheaf.llm.mojibake import garbled, restore
-from sheaf.runtime import read
+from sheaf.runtime import read, stored
+
+WEEKS = 26
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,20 +27,22 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of headlines that are one article but for formatting: the first row and the number of copies.
 
-    The ledger takes the older half of the weekly loads first and the newer half as an update.
+    The weekly batches go into a ledger in order, WEEKS of them a load.
     """
     news = read(spark, sf_dir, "news_headlines")
-    lo, hi = news.agg(F.min("batch_id"), F.max("batch_id")).first()
-    middle = 0 if lo is None else (lo + hi) // 2
     key = digest(letters_and_digits(F.col("title")), canonical_url(F.col("url")))
-    old = F.coalesce(F.col("batch_id") <= middle, F.lit(True))
-    ledger = Ledger(spark).update(news.filter(old), key, F.col("row_id")).update(news.filter(~old), key, F.col("row_id"))
-    return ledger.rows().filter("n_copies >= 2").select(F.col("first_id").alias("row_id"), "n_copies")
+    ledger = Ledger(spark)
+    try:
+        for part in loads(news, "batch_id", WEEKS):
+            ledger.update(news.filter(part), key, F.col("row_id"))
+        return stored(ledger.rows().filter("n_copies >= 2").select(F.col("first_id").alias("row_id"), "n_copies"), "p6")
+    finally:
+        ledger.drop()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headlines that repeat or nearly repeat one of an earlier weekly batch."""
-    return repeats(read(spark, sf_dir, "news_headlines"))
+    """Headlines that repeat or nearly repeat one of an earlier weekly batch; the batches go into an index in order, WEEKS of them a load."""
+    return repeats(read(spark, sf_dir, "news_headlines"), per_load=WEEKS)
 
 
 QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p7_found": p7_found}

@@ -52,25 +52,40 @@ def corpus(seed, n=220):
 def test_against_brute_force(spark, seed, hot):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("tk", F.lit("clash")).withColumn("words", F.lit(1))
-    got = [r.row_id for r in repeats(df, hot=hot).collect()]
+    got = [r.row_id for r in repeats(df, hot=hot, per_load=100).collect()]
     assert set(got) == by_hand(rows) and len(got) == len(set(got))
 
 
-def test_batches_one_by_one(spark):
+def test_several_batches_a_load(spark, per_load=5):
+    rows = corpus(8, 120)
+    got = [r.row_id for r in repeats(spark.createDataFrame(rows, SCHEMA), per_load=per_load, hot=6).collect()]
+    assert set(got) == by_hand(rows) and len(got) == len(set(got))
+
+
+def test_batches_one_by_one_in_new_sessions(spark, tmp_path):
     rows = [r for r in corpus(7, 120) if r[1] is not None]
     df = spark.createDataFrame(rows, SCHEMA)
-    index, got = BatchIndex(spark), set()
-    for b in (3, 8, 13):
-        new = df.filter((F.col("batch_id") <= b) & (F.col("batch_id") > b - 5))
-        got |= {(b, r.row_id) for r in index.check(new).collect()}
-        index.append(new)
-    bounds = lambda r: next(b for b in (3, 8, 13) if r[1] <= b)
-    want = set()
-    for r in rows:
-        old = [x for x in rows if bounds(x) < bounds(r)]
-        if r[0] in by_hand([*old, r]):
-            want.add((bounds(r), r[0]))
-    assert got == want
+    index, got = BatchIndex(spark, f"{tmp_path}/index"), set()
+    for b in (4, 8, 13):
+        got |= {r.row_id for r in index.load(df.filter((F.col("batch_id") <= b) & (F.col("batch_id") > b - 5))).collect()}
+        (tmp_path / "index" / "ids" / f"load={b}").mkdir(exist_ok=True)  # as a failed load would leave it
+        index = BatchIndex.open(spark, f"{tmp_path}/index")
+    assert got == by_hand(rows)
+    index.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_work_follows_the_batch_not_the_history(spark, tmp_path):
+    def rows_read(months):
+        index = BatchIndex(spark, f"{tmp_path}/h{months}")
+        history = [(i, 1, f"a{i}", f"story {i} of the {i % 7} mills", datetime(2020, 1, 1) + timedelta(days=30 * (i % months))) for i in range(200 * months)]
+        index.load(spark.createDataFrame(history, SCHEMA))
+        index.load(spark.createDataFrame([(10**6, 2, "new", "story 0 of the 0 big mills", datetime(2020, 1, 2))], SCHEMA))
+        used = index.segments.read().filter("load <= 2").filter(F.col("g").isin([r.g for r in index.segments.read().filter("load = 2").select("g").distinct().collect()])).count()
+        return used, index.segments.read().count()
+
+    (small, all_small), (large, all_large) = rows_read(4), rows_read(16)
+    assert small == large and all_large > 3 * all_small
 
 
 def test_empty(spark):
