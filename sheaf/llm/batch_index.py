@@ -320,13 +320,14 @@ def matched_by_title(rows: DataFrame, dates: DataFrame, links: DataFrame, clique
     dates: (tk, span, batch, lo, hi). links: (tk of rows, tk of dates). A group of cliques stands for one title.
     """
     groups = cliques.select("tk", F.xxhash64(F.lit("group"), "g").alias("c")).distinct()
-    spans = dates.unionByName(dates.join(groups, "tk").select(F.col("c").alias("tk"), "span", "batch", "lo", "hi")).groupBy("tk", "span", "batch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    near = spans.select("tk", F.explode(F.array(*[F.struct((F.col("span") - d).alias("span"), F.lit(d).alias("rel")) for d in (-1, 0, 1)])).alias("x"), "batch", "lo", "hi").select("tk", "x.*", "batch", "lo", "hi")
+    # a group's dates are gathered before its members meet them
+    of_groups = dates.join(groups, "tk").groupBy(F.col("c").alias("tk"), "span", "batch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # what a title meets: itself, the titles linked to it, its groups
-    meets = links.select(F.col("a").alias("own"), F.col("b").alias("tk")).unionByName(groups.select(F.col("tk").alias("own"), F.col("c").alias("tk")))
-    seen = near.withColumnRenamed("tk", "own").unionByName(near.join(meets, "tk").select("own", "span", "rel", "batch", "lo", "hi"))
-    seen = seen.groupBy("own", "span", "rel", "batch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    seen = seen.groupBy("own", "span").agg(F.collect_list(F.struct("rel", "batch", "lo", "hi")).alias("seen"))
+    tk = rows.select("tk").distinct()
+    meets = tk.select(F.col("tk").alias("own"), "tk").unionByName(links.select(F.col("a").alias("own"), F.col("b").alias("tk"))).unionByName(groups.join(tk, "tk", "left_semi").select(F.col("tk").alias("own"), F.col("c").alias("tk")))
+    seen = dates.unionByName(of_groups).join(meets, "tk").groupBy("own", "span", "batch").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    near = seen.select("own", F.explode(F.array(*[F.struct((F.col("span") - d).alias("span"), F.lit(d).alias("rel")) for d in (-1, 0, 1)])).alias("x"), "batch", "lo", "hi").select("own", "x.*", "batch", "lo", "hi")
+    seen = near.groupBy("own", "span").agg(F.collect_list(F.struct("rel", "batch", "lo", "hi")).alias("seen"))
     reach = F.lit(DAYS * DAY_US)
     hit = F.exists("seen", lambda s: (s["batch"] < F.col("batch")) & ((s["rel"] == 0) | ((s["rel"] == -1) & (s["hi"] >= F.col("us") - reach)) | ((s["rel"] == 1) & (s["lo"] <= F.col("us") + reach))))
     return rows.join(seen.withColumnRenamed("own", "tk"), ["tk", "span"]).filter(hit).select("row_id")
@@ -389,8 +390,8 @@ class BatchIndex:
 
     def _matches(self, own: DataFrame, keyed: DataFrame, number: int, hot: int, scratch: Scratch) -> DataFrame:
         titles, buckets = self.new, self.about["buckets"]
-        probing = stored(entries(titles, 0), "probing", scratch)
-        periods = [r.g for r in probing.select("g").distinct().limit(MOST_PRUNED + 1).collect()]
+        probing = entries(titles, 0)
+        periods = [r.g for r in own.select(F.floor(F.col("span") / PERIODS).cast("int").alias("g")).distinct().limit(MOST_PRUNED + 1).collect()]
 
         def held(table: BucketTable, reach: int) -> DataFrame:
             df = table.read().filter(F.col("load") <= number)
@@ -399,7 +400,7 @@ class BatchIndex:
 
         known = held(self.titles, 0).select("g", "tk", "words")
         found, cliques = candidates(held(self.segments, 0).select("key", "tk", "sig", "place"), known, probing, scratch, hot)
-        links = stored(linked(known, titles, found, buckets), "links", scratch)
+        links = linked(known, titles, found, buckets)
         by_title = matched_by_title(own, held(self.dates, 1).select("tk", "span", "batch", "lo", "hi"), links, cliques)
         first = self.ids.read().filter(F.col("load") <= number).groupBy("key").agg(F.min("first").alias("first"))
         by_id = keyed.join(first, "key").filter("first < batch").select("row_id")
