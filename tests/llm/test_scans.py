@@ -1,8 +1,11 @@
 import random
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from sheaf.llm.scans import Editor, Perceptron, Sketch, as_number, break_features, edited, laid_out, repaired, wrapped
+from sheaf.llm.scans import HEADERS, REPEATED, Editor, Perceptron, Sketch, Tagger, as_number, break_features, doubtful, groups, header, laid_out, letters, line_features, misread, operations, page_number, repaired, train, words_of, wrapped
 
 SENTENCES = ["Heavy rain delayed planting across the northern valleys near Griosland on Monday.", "Traders reported that late-planted corn prices moved sharply before the weekend.", "Inspectors counted 1530 bushels of soybeans and observed steady progress.", "Growers expect warmer weather, although heavier ground remains saturated.", "The forecast turned drier, which slowed nitrogen application around Zabamthorpe.", "About 62 percent of the silage corn was rated better than expected by midweek."]
 TABLE = "Stage           This week  Last week\nPlanted                84         52\nMature                 45         18"
@@ -37,21 +40,27 @@ def test_repair(spark, bulletins):
     assert (200, "body") not in out and out[201, "body"].text == ""
 
 
-def test_held_out_accuracy():
-    """Noise put into held-out texts of the test data is undone."""
-    import numpy as np
-    import pandas as pd
+def test_exact_vocabulary_gives_the_same(spark, bulletins):
+    """With more keys than the sketch may hold, levels come by joins."""
+    df = spark.createDataFrame(bulletins[0], "id long, body string, record string, summary string")
+    rows = lambda **k: sorted((r.id, r.field_name, r.text, tuple(r.kinds)) for r in repaired(df, "id", ["body", "record"], ["summary"], train_texts=20, **k).collect())
+    assert rows(most_cells=0) == rows()
 
-    from sheaf.llm.scans import CELLS, misread, train, words_of
 
+@pytest.fixture(scope="module")
+def clean_bulletins():
     b = pd.read_parquet("/root/testdata/sf0.1/wwcb_core_text.parquet", columns=["weather_highlights"]).weather_highlights
     texts = [t for t in b if t and not wrapped(t)][:600]
-    cells = np.zeros(CELLS, dtype=np.uint8)
+    cells = np.zeros(1 << 20, dtype=np.uint8)
     for t in texts[:400]:
         for w in words_of(t):
-            for p in Sketch.places("w" + w):
-                cells[p] = 4
-    sketch = Sketch(cells)
+            cells[Sketch.places("w" + w, len(cells))] = 4
+    return texts, Sketch(cells)
+
+
+def test_held_out_accuracy(clean_bulletins):
+    """Noise put into held-out texts of the test data is undone."""
+    texts, sketch = clean_bulletins
     editor = Editor(train(texts[:100], [], sketch), sketch)
     rng = random.Random(1)
     right = tried = false = 0
@@ -64,17 +73,60 @@ def test_held_out_accuracy():
                     right += editor.word(bad) == w
                 false += editor.word(w) != w
     assert right / tried > 0.95 and false == 0
-    page, divided = laid_out(texts[500], rng)
-    assert [x for x, _ in page] and all(label in ("join", "own") for *_, label in divided)
+
+
+@pytest.mark.parametrize("half", [0, 1])
+def test_held_out_layouts(clean_bulletins, half):
+    """Headers of forms that training hasn't seen are found, whole texts are restored."""
+    texts, sketch = clean_bulletins
+    editor = Editor(train(texts[:150], [], sketch, HEADERS[half::2]), sketch)
+    rng = random.Random(5)
+    names = sorted({w for t in texts[:50] for w in words_of(t) if w.isalpha() and len(w) > 3})
+    names = rng.sample(names, 4)  # few names, so that they repeat from page to page, as a publication's do
+    pages = [laid_out(t, rng, names, HEADERS[1 - half :: 2])[0] for t in texts[400:]]
+    cells = np.frombuffer(sketch.cells, dtype=np.uint8).copy()
+    for k, m in Counter(k for page in pages for k in {letters(x) for x, _ in page if doubtful(x)}).items():
+        if m >= REPEATED:
+            cells[Sketch.places("s" + k, len(cells))] = 1 + int(np.log2(m))
+    editor = Editor(editor.models, Sketch(cells))
+    found = n = same = 0
+    for t, page in zip(texts[400:], pages, strict=True):
+        text, kinds = editor.edit("\n".join(x for x, _ in page))
+        if "header" in {label for _, label in page}:
+            n, found = n + 1, found + ("header" in kinds)
+        same += "".join(text.split()) == "".join(t.split())
+    assert found / n >= 0.9 and same / len(texts[400:]) > 0.7
+
+
+def test_no_length_is_too_long(clean_bulletins):
+    texts, sketch = clean_bulletins
+    editor = Editor(train(texts[:100], [], sketch), sketch)
+    number = "1" * 40 + "O5"
+    known = "moisture-" * 6 + "moisture"
+    for p in Sketch.places("w" + known, sketch.mask + 1):
+        sketch.cells = sketch.cells[:p] + b"\x04" + sketch.cells[p + 1 :]
+    assert editor.word(number) == "1" * 40 + "05" and editor.word(known.replace("sture", "stvre", 1).replace("stvre", "sture").replace("moi", "mo1", 1)) == known
+    wide = "rain " * 40 + "and\nmore of it after that fell on the fields\nof the whole county for days"
+    assert wrapped(wide) and not wrapped("rain " * 40 + "\n\n" + "rain " * 40)
+    assert editor.word("c0" * 3000)
 
 
 def test_parts():
     assert as_number("1O5") == "105" and as_number("S0") == "50" and as_number("5-yr") is None and as_number("105") is None and as_number("I") is None
-    assert edited("rn", 1)["m"] == ("rn>m",) and "corn" in edited("c0m", 2)
+    assert as_number("1" * 20 + "O") == "1" * 20 + "0"
+    assert operations("m", "rn") == ("rm", "d") and operations("rn", "m") == ("rr+in",) and operations("o", "0") == ("ro",) and operations("li", "h") == ("rl+ii",)
+    assert (1, 2, "o", ("ro",)) in groups("c0m") and (0, 2, "m", ("rm", "d")) in groups("rn")
+    tagger = Tagger(["x", "y"])
+    for _ in range(5):
+        tagger.learn(["a"], "y")
+    assert tagger.averaged().best(["a"]) == "y" and tagger.averaged().best(["a"], ["x"]) == "x"
+    rng = random.Random(2)
+    assert len({header(rng, ["corn", "rain"]) for _ in range(50)}) > 10 and page_number(rng)
+    assert "since0" in line_features(["a", "7", "b"], 1, 1, 0, 0, 1)
     p = Perceptron()
     for _ in range(5):
-        p.learn([["a"], ["b"]], 1)
-    assert p.averaged().best([["a"], ["b"]]) == 1
+        p.learn([[("a", 1)], [("b", 1)]], 1)
+    assert p.averaged().best([[("a", 1)], [("b", 1)]]) == 1
     assert break_features("cen", "-", "tral", lambda w: 0)
     assert not wrapped("one line") and not wrapped("a\n\nb") and wrapped("a b\nc d")
 
