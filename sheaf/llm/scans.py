@@ -207,17 +207,16 @@ def doubtful(line: str) -> bool:
     return bool(line.strip()) and (not _RUNNING3.search(line) or bool(_MARKS.search(line)))
 
 
+def token_words(token: str) -> list[str]:
+    t = token.strip(".?!'’").lower()
+    if t.endswith(("'s", "’s")):
+        t = t[:-2]
+    return [] if not t else [t, *[x for x in t.split("-") if x]] if "-" in t else [t]
+
+
 def words_of(text: str) -> list[str]:
-    out = []
-    for t in _TOKEN.findall(text):
-        t = t.strip(".?!'’").lower()
-        if t.endswith(("'s", "’s")):
-            t = t[:-2]
-        if t:
-            out.append(t)
-            if "-" in t:
-                out += [x for x in t.split("-") if x]
-    return out
+    """The words of a text, compounds also by their parts."""
+    return [w for t in _TOKEN.findall(text) for w in token_words(t)]
 
 
 # --- furniture -----------------------------------------------------------------------------
@@ -648,12 +647,17 @@ def key_counts(texts: DataFrame, clean_also: DataFrame | None) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             n: Counter = Counter()
+            tokens: Counter = Counter()
             for text, scanned in zip(pdf.text, pdf.scanned, strict=True):
                 if scanned:
                     n.update({"s" + k for x in text.split("\n") if doubtful(x) and (k := letters(x))})
                 else:
-                    n.update(["w" + w for w in words_of(text)])
-                    n.update({"c" + k for x in text.split("\n") if is_row(x) and (k := letters(x))})
+                    tokens.update(_TOKEN.findall(text))
+                    if "\n" in text:
+                        n.update({"c" + k for x in text.split("\n") if is_row(x) and (k := letters(x))})
+            for t, times in tokens.items():
+                for w in token_words(t):
+                    n["w" + w] += times
             if n:
                 yield pd.DataFrame({"key": list(n), "n": list(n.values())})
 
