@@ -64,3 +64,33 @@ def yyyymmdd(d: Column) -> Column:
 def from_yyyymmdd(n: Column) -> Column:
     """The date of a number; null for 0 and impossible dates."""
     return F.try_to_timestamp(F.lpad(n.cast("string"), 8, "0"), F.lit("yyyyMMdd")).cast("date")
+
+
+def month_ranges(start: str, end: str) -> Column:
+    """Array of (month_start, month_end): the months of a half-open span, the first from its start, the last up to its end."""
+    a, b = F.lit(start).cast("date"), F.lit(end).cast("date")
+    firsts = F.when(a < b, F.sequence(F.trunc(a, "month"), F.date_sub(b, 1), F.expr("interval 1 month"))).otherwise(F.array().cast("array<date>"))
+    return F.transform(firsts, lambda m: F.struct(F.greatest(m, a).alias("month_start"), F.least(F.add_months(m, 1), b).alias("month_end")))
+
+
+def lead_hours(lead_days: int, six_hourly: bool = False) -> list[int]:
+    """Hours ahead of a schedule: every 6, or at 7, 14, 21, 28 and each 30 days."""
+    if six_hourly:
+        return [*range(6, lead_days * 24 + 1, 6)]
+    return sorted({24 * d for d in [7, 14, 21, 28, *range(30, lead_days + 1, 30)] if d <= lead_days})
+
+
+def year_slots(year: Column) -> Column:
+    """Array of 366 (slot, day) of a year, the last day null unless it is a leap year."""
+    first = F.make_date(year, F.lit(1), F.lit(1))
+    return F.transform(F.sequence(F.lit(1), F.lit(366)), lambda k: F.struct(k.alias("slot"), F.when(F.year(F.date_add(first, k - 1)) == year, F.date_add(first, k - 1)).alias("day")))
+
+
+def init_span(first_year: int, last_year: int, hours: list[int]) -> tuple[Column, Column]:
+    """(first, last) day of the initialisations whose forecasts reach into a span of years."""
+    return F.date_sub(F.lit(f"{first_year}-01-01").cast("date"), max(hours) // 24), F.date_sub(F.lit(f"{last_year}-12-31").cast("date"), min(hours) // 24)
+
+
+def growing_degrees(temperature_f: Column) -> Column:
+    """Growing degree days of a week of a mean temperature in Fahrenheit."""
+    return F.greatest((temperature_f - 50) * 7, F.lit(0.0))

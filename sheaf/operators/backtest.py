@@ -53,11 +53,20 @@ def weekly_summary(df: DataFrame, by: list[str], realised: str, position: str) -
     )
 
 
-def daily_summary(df: DataFrame, by: list[str], simple: str) -> DataFrame:
-    """Simple-return summary with 252 periods a year and the sample deviation."""
+def daily_summary(df: DataFrame, by: list[str], simple: str, order: str, position: str, turnover: str) -> DataFrame:
+    """Simple-return summary with 252 periods a year and the sample deviation; a missing return counts as 0, one of -1 or less ends all wealth.
+
+    The peak starts with the first row's wealth.
+    """
+    run = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     r = F.coalesce(F.col(simple), F.lit(0.0))
-    total = F.exp(F.sum(F.ln(1 + r))) - 1
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), total.alias("total_return"), (F.pow(1 + total, 252 / F.count(F.lit(1))) - 1).alias("annual_return"), (F.stddev_samp(r) * 252**0.5).alias("annual_vol"), (F.try_divide(F.avg(r), F.stddev_samp(r)) * 252**0.5).alias("sharpe"))
+    x = df.withColumn("__lost", F.max((r <= -1).cast("int")).over(run)).withColumn("__wealth", F.when(F.col("__lost") == 1, 0.0).otherwise(F.exp(F.sum(F.when(r > -1, F.ln(1 + r))).over(run))))
+    x = x.withColumn("__down", F.col("__wealth") / F.max("__wealth").over(run) - 1)
+    total = F.when(F.max("__lost") == 1, 0.0).otherwise(F.exp(F.sum(F.when(r > -1, F.ln(1 + r))))) - 1
+    return x.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), total.alias("total_return"), (F.pow(1 + total, 252 / F.count(F.lit(1))) - 1).alias("annual_return"), (F.stddev_samp(r) * 252**0.5).alias("annual_vol"), (F.try_divide(F.avg(r), F.stddev_samp(r)) * 252**0.5).alias("sharpe"),
+        F.min("__down").alias("max_drawdown"), F.avg(turnover).alias("mean_turnover"), F.avg(position).alias("mean_position"), F.avg((F.col(position) == 0).cast("int")).alias("cash_share"),
+    )
 
 
 def regression_metrics(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
@@ -84,6 +93,46 @@ def confusion(df: DataFrame, by: list[str], y: str, p: str, labels: list[int]) -
     return df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*by).agg(*cells)
 
 
+def class_metrics(df: DataFrame, by: list[str], y: str, p: str, labels: list[int]) -> DataFrame:
+    """Accuracy, recall of each class and its mean over the classes there are, macro F1 (an absent class counts 0), counts and the share of rows off the middle label."""
+    some = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
+    tag = lambda c: str(c).replace("-", "m")
+    true, said, both = ({c: F.count_if(t(c)) for c in labels} for t in (lambda c: F.col(y) == c, lambda c: F.col(p) == c, lambda c: (F.col(y) == c) & (F.col(p) == c)))
+    recall = {c: F.try_divide(both[c], true[c]) for c in labels}
+    there = F.filter(F.array(*recall.values()), lambda x: x.isNotNull())
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    f1 = F.array(*[F.coalesce(F.try_divide(2.0 * both[c], true[c] + said[c]), F.lit(0.0)) for c in labels])
+    ends = [labels[0], labels[-1]]
+    return some.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col(y) == F.col(p)).cast("int")).alias("accuracy"), F.try_divide(total(there), F.size(there)).alias("balanced_accuracy_present"), (total(f1) / len(labels)).alias("macro_f1"),
+        *[recall[c].alias(f"recall_{tag(c)}") for c in labels], *[true[c].alias(f"n_{tag(c)}") for c in labels], F.avg(F.col(y).isin(ends).cast("int")).alias("event_rate"), ((true[ends[0]] > 0) & (true[ends[1]] > 0)).alias("has_both_ends"),
+    )
+
+
+def volatility_metrics(df: DataFrame, by: list[str], y: str, p: str, threshold: str) -> DataFrame:
+    """Errors, rank correlation, and how well high values (at or above each row's threshold) are told."""
+    high = df.withColumns({"__hy": (F.col(y) >= F.col(threshold)).cast("int"), "__hp": (F.col(p) >= F.col(threshold)).cast("int")})
+    shares = high.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(*by).agg(
+        F.avg("__hy").alias("high_share"), F.avg((F.col("__hy") == F.col("__hp")).cast("int")).alias("high_accuracy"), F.try_divide(F.count_if((F.col("__hy") == 1) & (F.col("__hp") == 1)), F.count_if(F.col("__hy") == 1)).alias("high_recall"),
+    )
+    return regression_metrics(df, by, y, p).join(spearman(df, by, y, p), by, "left").join(shares, by, "left")
+
+
+def against_mean(df: DataFrame, by: list[str], y: str, p: str, mean: str) -> DataFrame:
+    """Out-of-sample R2 against a mean known beforehand, correlation (null without variance) and the share of right signs."""
+    some = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
+    square = lambda c: F.avg((F.col(y) - F.col(c)) * (F.col(y) - F.col(c)))
+    return some.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (1 - F.try_divide(square(p), square(mean))).alias("oos_r2"), F.when((F.stddev_pop(y) > 0) & (F.stddev_pop(p) > 0), F.corr(y, p)).alias("corr"), F.avg((F.signum(y) == F.signum(p)).cast("int")).alias("direction_accuracy"))
+
+
+def against_baseline(metrics: DataFrame, key: str, baseline: str, columns: list[str]) -> DataFrame:
+    """metrics with <column>_delta against the baseline's row and, in every row, whether all runs have a negative value."""
+    base = metrics.filter(F.col(key) == baseline).select(*[F.col(c).alias(f"__{c}") for c in columns]).limit(1)
+    whole = Window.partitionBy(F.lit(1))  # one row a run
+    out = metrics.join(F.broadcast(base), how="left")  # one row
+    return out.select(*metrics.columns, *[(F.col(c) - F.col(f"__{c}")).alias(f"{c}_delta") for c in columns], *[F.every(F.col(c) < 0).over(whole).alias(f"all_{c}_negative") for c in columns])
+
+
 def binary_metrics(df: DataFrame, by: list[str], y: str, prob: str) -> DataFrame:
     """Accuracy, balanced accuracy, F1, log-loss and area under the ROC curve (by average ranks)."""
     some = df.filter(F.col(y).isNotNull() & F.col(prob).isNotNull()).withColumn("__r", average_rank(prob, by)).withColumn("__h", (F.col(prob) >= 0.5).cast("int"))

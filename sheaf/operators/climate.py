@@ -82,6 +82,18 @@ def overlap(a0: Column, a1: Column, b0: float, b1: float) -> Column:
     return F.greatest(F.least(a1, F.lit(b1)) - F.greatest(a0, F.lit(b0)), F.lit(0.0))
 
 
+def cell_overlap(lat: Column, lon: Column, dlat: float, dlon: float, north: float, west: float, south: float, east: float) -> Column:
+    """Weight of a grid cell by the part of it inside a box on the sphere: difference of the latitudes' sines times degrees of longitude.
+
+    Longitudes may be of either convention and the box may cross the date line.
+    """
+    top, low = F.least(lat + dlat / 2, F.lit(north)), F.greatest(lat - dlat / 2, F.lit(south))
+    x, w = F.pmod(lon, F.lit(360.0)), west % 360
+    e = w + (east - west) % 360
+    wide = sum((overlap(x - dlon / 2 + turn, x + dlon / 2 + turn, w, e) for turn in (-360, 0, 360)), F.lit(0.0))
+    return F.when(top > low, (F.sin(F.radians(top)) - F.sin(F.radians(low))) * wide).otherwise(0.0)
+
+
 def calendar_grid(start: Column, end: Column, leads: list[int]) -> tuple[Column, Column]:
     """Expressions of (valid_date, lead) arrays to be exploded: every day and lead of a span."""
     return F.sequence(start, end), F.array(*map(F.lit, leads))
@@ -90,7 +102,3 @@ def calendar_grid(start: Column, end: Column, leads: list[int]) -> tuple[Column,
 def first_non_null(df: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
     """For each key the first non-null of each column in an order."""
     return df.groupBy(key).agg(*[F.min_by(F.col(v), F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values])
-
-
-def running(df: DataFrame, by: list[str], order: str, value: str) -> Column:
-    return F.sum(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_FOLDS = 2000
-
+from sheaf.operators.boosting import boosted
+from sheaf.operators.tfidf import STOP_WORDS
 
 def fold_table(panel: DataFrame, week: str, split: str, window: int = 13, step: int = 13, rolling: int | None = None) -> DataFrame:
     """(fold, train_from, test_from, test_to): from the first week after split in steps, up to the last week.
 
-    The bounds are two scalars of the panel; there are at most MOST_FOLDS folds, so the table may be broadcast.
+    The bounds are two scalars of the panel. Dates lie in the years 1 to 9999, so there are at
+    most half a million folds of a week and 40,000 of a quarter: the table may be broadcast.
     """
     ends = panel.filter(F.col(week) > F.lit(split).cast("date")).agg(F.min(week).alias("lo"), F.max(week).alias("hi"))
-    at = ends.filter("lo is not null").select(F.posexplode(F.slice(F.sequence("lo", "hi", F.expr(f"interval {7 * step} days")), 1, MOST_FOLDS)).alias("fold", "test_from"))
+    at = ends.filter("lo is not null").select(F.posexplode(F.sequence("lo", "hi", F.expr(f"interval {7 * step} days"))).alias("fold", "test_from"))
     train_from = F.date_sub("test_from", 7 * rolling) if rolling else F.lit("0001-01-01").cast("date")
     return at.select("fold", train_from.alias("train_from"), "test_from", F.date_add("test_from", 7 * (window - 1)).alias("test_to"))
 
 
+def year_folds(panel: DataFrame, day: str, first_train: int = 1, first_test: int | None = None) -> DataFrame:
+    """(fold, train_from, test_from, test_to): each year of the panel tested on all years from first_train before it; fold is the year."""
+    years = panel.filter(F.col(day).isNotNull()).select(F.year(day).alias("fold")).distinct()
+    years = years if first_test is None else years.filter(F.col("fold") >= first_test)
+    at = lambda y, m, d: F.make_date(y, F.lit(m), F.lit(d))
+    return years.select("fold", at(F.lit(first_train), 1, 1).alias("train_from"), at(F.col("fold"), 1, 1).alias("test_from"), at(F.col("fold"), 12, 31).alias("test_to"))
+
+
 def assigned(panel: DataFrame, folds: DataFrame, week: str) -> DataFrame:
     """panel rows by fold with role train or test; a row of several folds comes once for each."""
     w = F.col(week)
@@ -46,14 +58,6 @@ def standardised(rows: DataFrame, by: list[str], columns: list[str]) -> DataFram
     return out.withColumns(scaled).drop(*[f"{c}_{k}" for c in columns for k in ("median", "mean", "std")])
 
 
-def _ready(part: pd.DataFrame, train: pd.DataFrame, columns: list[str]) -> np.ndarray:
-    x, t = part[columns].astype(float), train[columns].astype(float)
-    med = t.median().fillna(0.0)
-    t = t.fillna(med)
-    std = t.std(ddof=0).replace(0.0, 1.0).fillna(1.0)
-    return ((x.fillna(med) - t.mean()) / std).to_numpy()
-
-
 def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> Callable[[np.ndarray], np.ndarray]:
     """Ridge regression in closed form; the intercept isn't shrunk."""
     mx, my = x.mean(axis=0), y.mean()
@@ -72,8 +76,12 @@ def grid_alpha(x: np.ndarray, y: np.ndarray, alphas: tuple[float, ...] = (0.01,
     return float(alphas[int(np.argmin(loss))])
 
 
-def softmax_fit(x: np.ndarray, y: np.ndarray, classes: list[int], penalty: float = 1.0, steps: int = 300) -> Callable[[np.ndarray], np.ndarray]:
-    """Multinomial logistic regression with balanced weights, by accelerated gradient steps; one class gives that class."""
+def softmax_fit(x: np.ndarray, y: np.ndarray, classes: list[int], penalty: float = 1.0, steps: int = 300, intercept: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+    """Multinomial logistic regression with balanced weights, by accelerated gradient steps; one class gives that class.
+
+    intercept: whether it is shrunk, too. Of two classes each holds half of a binary model's
+    coefficients, so twice the penalty shrinks as much.
+    """
     here = [c for c in classes if (y == c).any()]
     if len(here) == 1:
         return lambda z: np.tile([float(c == here[0]) for c in classes], (len(z), 1))
@@ -82,7 +90,7 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, classes: list[int], penalty: float
     a = np.hstack([np.ones((len(x), 1)), x])
     able = np.array([0.0 if c in here else -1e9 for c in classes])
     b = v = np.zeros((a.shape[1], len(classes)))
-    shrink = np.array([0.0] + [penalty] * x.shape[1])[:, None]
+    shrink = np.array([penalty if intercept else 0.0] + [penalty] * x.shape[1])[:, None]
     rate = 1.0 / (0.5 * np.linalg.norm(a * np.sqrt(weight)[:, None], 2) ** 2 + penalty)
 
     def prob(z: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -96,27 +104,107 @@ def softmax_fit(x: np.ndarray, y: np.ndarray, classes: list[int], penalty: float
     return lambda z: prob(z, b)
 
 
-def walk_forward(rows: DataFrame, by: list[str], columns: list[str], target: str, order: str, kind: str = "ridge", alpha: float | None = 1.0, least: int = 20, classes: tuple[int, ...] = (-1, 0, 1)) -> DataFrame:
-    """(by, order, y_true, y_pred, train_mean, n_train) of the test rows; by has the fold and all that sets runs apart.
+@dataclass(frozen=True)
+class Model:
+    """What to fit: numeric columns, optionally a text's most frequent terms, a target, and the kind of model.
+
+    Kinds are ridge (alpha None: chosen on expanding splits), logit and classes (balanced
+    logistic models of two or more classes), boosted and boosted_up (histogram boosting of a
+    number or a class of 0 and 1). Of two classes the prediction is the probability of the
+    greater, of more the likeliest class.
+    """
+
+    name: str
+    columns: tuple[str, ...]
+    target: str
+    kind: str = "ridge"
+    alpha: float | None = 1.0
+    classes: tuple[int, ...] = (-1, 0, 1)
+    text: str | None = None
+    terms: int = 30
+
+
+def _terms(train: pd.Series, test: pd.Series, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the training texts' most frequent words and pairs of words, smoothed and of length 1."""
+    def cut(t: str | None) -> list[str]:
+        w = [x for x in re.findall(r"\w\w+", (t or "").lower()) if x not in STOP_WORDS]
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+    docs = [Counter(cut(t)) for t in train]
+    total: Counter = Counter()
+    for d in docs:
+        total.update(d)
+    vocabulary = [t for t, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most]]
+    idf = np.array([np.log((1 + len(docs)) / (1 + sum(t in d for d in docs))) + 1 for t in vocabulary])
 
-    A fold's rows go to one task: folds of a series are at most its rows, which a panel bounds.
-    Folds with too few training rows, or (for classes) with a single class, give no rows.
+    def weights(some: list[Counter]) -> np.ndarray:
+        x = np.array([[d[t] for t in vocabulary] for d in some], dtype=float).reshape(len(some), len(vocabulary)) * idf
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+
+    return weights(docs), weights([Counter(cut(t)) for t in test])
+
+
+def _imputed(train: pd.DataFrame, test: pd.DataFrame, columns: list[str], scale: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Both parts with the training part's medians for nulls and, if asked for, its means and deviations taken out."""
+    t, z = train[columns].astype(float), test[columns].astype(float)
+    med = t.median().fillna(0.0)
+    t, z = t.fillna(med).to_numpy(), z.fillna(med).to_numpy()
+    if not scale:
+        return t, z
+    mean, std = t.mean(axis=0), t.std(axis=0)
+    std[std == 0] = 1.0
+    return (t - mean) / std, (z - mean) / std
+
+
+def fitted(train: pd.DataFrame, test: pd.DataFrame, m: Model) -> tuple[np.ndarray, float | None] | None:
+    """(predictions for test, alpha) of a model; None where classes are asked for and the training part has one only."""
+    y = train[m.target].to_numpy(dtype=float)
+    x, z = _imputed(train, test, list(m.columns), not m.kind.startswith("boosted")) if m.columns else (np.zeros((len(train), 0)), np.zeros((len(test), 0)))
+    if m.text:
+        a, b = _terms(train[m.text], test[m.text], m.terms)
+        x, z = np.hstack([x, a]), np.hstack([z, b])
+    if m.kind == "ridge":
+        alpha = grid_alpha(x, y) if m.alpha is None else m.alpha
+        return ridge(x, y, alpha)(z), alpha
+    if m.kind == "boosted":
+        return boosted(x, y)(z), None
+    if len(set(y)) < 2:
+        return None
+    if m.kind == "boosted_up":
+        return np.clip(boosted(x, y, classes=True)(z), 1e-6, 1 - 1e-6), None
+    two = len(m.classes) == 2
+    p = softmax_fit(x, y, list(m.classes), 2.0 if two else 1.0, intercept=two)(z)
+    return (p[:, -1] if len(m.classes) == 2 else np.array(m.classes, dtype=float)[p.argmax(axis=1)]), None
+
+
+def walk_forward(panel: DataFrame, by: list[str], models: list[Model], order: str, folds: DataFrame, least: int = 20) -> DataFrame:
+    """(by, fold, model, order, y_true, y_pred, train_mean, alpha, n_train) of the test rows of each fold and model.
+
+    A series' rows go to one task once, whatever the number of folds and models: it has one row
+    a day or week, so the calendar bounds it (a repeated key fails). Folds with fewer training rows
+    than `least`, or without test rows, give none.
     """
-    schema = ", ".join([f"{c} {rows.schema[c].dataType.simpleString()}" for c in by] + [f"{order} {rows.schema[order].dataType.simpleString()}", "y_true double", "y_pred double", "train_mean double", "n_train long"])
+    needed = list(dict.fromkeys(c for m in models for c in (*m.columns, m.target, *([m.text] if m.text else []))))
+    spans = [tuple(r) for r in folds.select("fold", "train_from", "test_from", "test_to").orderBy("fold").collect()]  # bounded, see fold_table
+    kinds = {**{c: panel.schema[c].dataType.simpleString() for c in [*by, order]}}
+    schema = ", ".join([f"{c} {kinds[c]}" for c in by] + ["fold int", "model string", f"{order} {kinds[order]}", "y_true double", "y_pred double", "train_mean double", "alpha double", "n_train long"])
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf[target].notna()].sort_values(order)
-        train, test = pdf[pdf.role == "train"], pdf[pdf.role == "test"]
-        y = train[target].to_numpy(dtype=float)
-        if len(train) < least or test.empty or (kind != "ridge" and len(set(y)) < 2):
-            return pd.DataFrame(columns=names)
-        x, z = _ready(train, train, columns), _ready(test, train, columns)
-        if kind == "ridge":
-            got = ridge(x, y, grid_alpha(x, y) if alpha is None else alpha)(z)
-        else:
-            p = softmax_fit(x, y, list(classes))(z)
-            got = p[:, -1] if len(classes) == 2 else np.array(classes, dtype=float)[p.argmax(axis=1)]
-        return test[[*by, order]].assign(y_true=test[target].astype(float), y_pred=got, train_mean=y.mean(), n_train=len(train))[names]
-
-    return rows.groupBy(*by).applyInPandas(run, schema)
+        pdf = pdf.sort_values(order)
+        if pdf[order].duplicated().any():
+            raise ValueError(f"repeated key {by} {order}")
+        at, out = pdf[order], []
+        for fold, lo, start, end in spans:
+            past, now = (at >= lo) & (at < start), (at >= start) & (at <= end)
+            if not now.any():
+                continue
+            for m in models:
+                usable = pdf[m.target].notna()
+                train, test = pdf[past & usable], pdf[now & usable]
+                if len(train) < least or test.empty or (got := fitted(train, test, m)) is None:
+                    continue
+                out.append(test[[*by, order]].assign(fold=fold, model=m.name, y_true=test[m.target].astype(float), y_pred=got[0], train_mean=train[m.target].astype(float).mean(), alpha=np.nan if got[1] is None else got[1], n_train=len(train))[names])
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)
+
+    return panel.select(*by, order, *needed).groupBy(*by).applyInPandas(run, schema)

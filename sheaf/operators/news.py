@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.functions import text as X
+from sheaf.functions.calendar import friday
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -19,16 +22,35 @@ def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataF
     return df.withColumn("__n", rank).filter(F.col("__n") <= n).drop("__n")
 
 
-def headline_filter(pages: DataFrame, title: str, url: str, themes: str, expanded: bool = True) -> DataFrame:
-    """Headlines about the crop: a required term, or (expanded) weather in an agricultural context; a keyword; no excluded term.
+@dataclass(frozen=True)
+class Terms:
+    """Term lists of the headline query."""
+
+    topics: tuple[str, ...] = tuple(X.TOPICS)
+    required: tuple[str, ...] = tuple(X.REQUIRED)
+    weather: tuple[str, ...] = tuple(X.WEATHER)
+    context: tuple[str, ...] = tuple(X.AG_CONTEXT)
+    exclude: tuple[str, ...] = tuple(X.EXCLUDE)
+    locations: tuple[str, ...] = tuple(X.LOCATIONS)
+
+
+def headline_query(pages: DataFrame, headline: Column, url: str, themes: str, places: str, at: str, keep: list[str], terms: Terms = Terms(), expanded: bool = True, most: int | None = None) -> DataFrame:  # noqa: B008
+    """(keep..., headline_raw, match_type): headlines about the crop near the places asked for, distinct, in order of time.
 
-    Adds match_type. The terms are constants, tested in one pass over the columns needed.
+    Required, weather and excluded terms are looked for in the headline; context and topics in
+    headline, themes and url together; places as parts of the page's locations. A headline
+    counts with a required term or (expanded) with a weather term in an agricultural context;
+    it must also have a topic, a place and no excluded term. Pages without headline fall away.
     """
-    t = F.lower(F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.regexp_replace(url, "[-_/]", " "), F.lit("")), F.coalesce(F.col(themes), F.lit(""))))
-    df = pages.filter(F.trim(F.coalesce(F.col(title), F.lit(""))) != "").withColumn("__t", t)
-    direct, weather_ag = X.any_word(F.col("__t"), X.REQUIRED), X.any_word(F.col("__t"), X.WEATHER) & X.any_word(F.col("__t"), X.AG_CONTEXT)
-    kept = df.filter(((direct | weather_ag) if expanded else direct) & X.contains_any(F.col("__t"), X.REQUIRED + X.WEATHER) & ~X.any_word(F.col("__t"), X.EXCLUDE))
-    return kept.withColumn("match_type", F.when(direct, "direct").when(weather_ag, "weather_ag").otherwise("other")).drop("__t")
+    lists = {k: list(v) for k, v in vars(terms).items()}
+    text = lambda *c: F.lower(F.concat_ws(" ", *[F.coalesce(x, F.lit("")) for x in c]))
+    df = pages.withColumn("headline_raw", headline).filter(F.trim("headline_raw") != "")
+    df = df.withColumns({"__h": text(F.col("headline_raw")), "__s": text(F.col("headline_raw"), F.col(themes), F.col(url)), "__p": text(F.col(places))})
+    direct = X.any_word(F.col("__h"), lists["required"])
+    weather = X.any_word(F.col("__h"), lists["weather"]) & X.any_word(F.col("__s"), lists["context"])
+    kept = df.filter(((direct | weather) if expanded else direct) & X.any_word(F.col("__s"), lists["topics"]) & ~X.any_word(F.col("__h"), lists["exclude"]) & X.contains_any(F.col("__p"), [x.lower() for x in lists["locations"]]))
+    out = kept.select(*keep, "headline_raw", F.when(direct, "direct_corn").when(weather, "weather_ag").otherwise("other").alias("match_type")).distinct().orderBy(at)
+    return out if most is None else out.limit(most)
 
 
 def weighted_weekly(scores: DataFrame, week: Column, weight: str, columns: list[str], least: float = 0.0) -> DataFrame:
@@ -55,3 +77,38 @@ def joined_text(reports: DataFrame, keys: list[str], text: str, order: list[str]
 def not_done(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key hasn't been worked off yet; null keys are never done."""
     return wanted.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def article_rows(payloads: DataFrame, payload: str, query: str) -> DataFrame:
+    """(article_id, seendate, week, title, url, domain, language, sourcecountry, query): articles of JSON replies, the first of each id.
+
+    The list is the first of articles, results and data that isn't empty. Articles without
+    title, url or a date fall away; the reply's order decides between equal ids.
+    """
+    item = "array<struct<title: string, url: string, seendate: string, date: string, datetime: string, domain: string, language: string, sourcecountry: string>>"
+    x = F.from_json(payload, f"articles {item}, results {item}, data {item}")
+    some = lambda name: F.when(F.size(x[name]) > 0, x[name])
+    rows = payloads.select(F.col(query).alias("query"), F.posexplode(F.coalesce(some("articles"), some("results"), some("data"))).alias("__pos", "x"))
+    filled = lambda c: F.when(F.trim(c) != "", c)
+    stamp = F.coalesce(filled(F.col("x.seendate")), filled(F.col("x.date")), filled(F.col("x.datetime")))
+    at = F.coalesce(F.try_to_timestamp(stamp, F.lit("yyyyMMdd'T'HHmmssX")), F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")), stamp.try_cast("timestamp"))
+    rows = rows.select("query", "__pos", at.alias("seendate"), X.stripped(F.col("x.title")).alias("title"), X.stripped(F.col("x.url")).alias("url"), "x.domain", "x.language", "x.sourcecountry").filter("title != '' and url != '' and seendate is not null")
+    rows = rows.select(X.article_id(F.col("url"), F.col("title")).alias("article_id"), "seendate", friday(F.to_date("seendate")).alias("week"), "title", "url", "domain", "language", "sourcecountry", "query", "__pos")
+    return first_by(rows, ["article_id"], [F.col("query"), F.col("__pos")]).drop("__pos")
+
+
+ALIASES = {"title": "headline", "url": "source_url", "domain": "source_name", "seendate": "gkg_date"}
+
+
+def with_aliases(df: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
+    """df with each missing column taken from its alias, and article_id and week made where they are missing."""
+    out = df.withColumns({c: F.col(a) for c, a in aliases.items() if c not in df.columns and a in df.columns})
+    if "article_id" not in out.columns and {"url", "title"} & set(out.columns):
+        part = lambda c: F.col(c).cast("string") if c in out.columns else F.lit(None).cast("string")
+        out = out.withColumn("article_id", X.article_id(part("url"), part("title")))
+    return out if "week" in out.columns or "seendate" not in out.columns else out.withColumn("week", friday(F.to_date("seendate")))
+
+
+def without_repeats(df: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
+    """df without the columns that only repeat another under its alias."""
+    return df.drop(*[a for c, a in aliases.items() if c in df.columns and a in df.columns and a != "gkg_date"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheaf.functions.calendar import calendar_columns, daily_calendar_columns, in_month_day_window
 from sheaf.operators import backtest as B
 from sheaf.operators import folds as V
+from sheaf.operators import panel as P
 from sheaf.operators import series as S
 from sheaf.runtime import read
 
@@ -92,12 +93,26 @@ def fold_quantile(s: SparkSession, d: str) -> DataFrame:
     return x.filter("role = 'test'").join(q, ["series", "fold"]).groupBy("series", "fold").agg(F.first("q").alias("threshold"), F.count_if(F.col("vol") >= F.col("q")).alias("n_high"), F.count(F.lit(1)).alias("n"))
 
 
-def model_rows(s: SparkSession, d: str, kind: str, alpha: float | None = 1.0) -> DataFrame:
-    x = folded(s, d)
-    if kind == "ridge":
-        return V.walk_forward(x, ["series", "fold"], RIDGE, "target_log_return_next", "week", "ridge", alpha)
-    target, classes = ("target_up_next", (0, 1)) if kind == "binary" else ("cls", (-1, 0, 1))
-    return V.walk_forward(x.withColumn("cls", S.band_class(F.col("target_log_return_next"), 0.02)), ["series", "fold"], RIDGE, target, "week", "classes", classes=classes)
+def model_rows(s: SparkSession, d: str, kind: str, alpha: float | None = 1.0, columns: list[str] = RIDGE) -> DataFrame:
+    target, classes = {"ridge": ("target_log_return_next", ()), "logit": ("target_up_next", (0, 1)), "classes": ("cls", (-1, 0, 1))}[kind]
+    x = features(s, d).withColumn("cls", S.band_class(F.col("target_log_return_next"), 0.02))
+    folds = V.fold_table(x.filter("target_log_return_next is not null"), "week", SPLIT, 13, 13)
+    return V.walk_forward(x, ["series"], [V.Model(kind, tuple(columns), target, kind, alpha, classes)], "week", folds).drop("model")
+
+
+def classed(s: SparkSession, d: str) -> DataFrame:
+    return predicted(s, d).select("series", S.band_class(F.col("target_log_return_next"), 0.02).alias("y"), S.band_class(F.col("pred"), 0.01).alias("p"))
+
+
+def volatility(s: SparkSession, d: str) -> DataFrame:
+    """Next week's absolute return against the last four weeks' deviation; high is above the series' 70 % quantile."""
+    x = features(s, d).select("series", F.abs("target_log_return_next").alias("y"), F.col("price_rolling_vol_4w").alias("p")).filter("y is not null and p is not null")
+    return B.volatility_metrics(x.join(x.groupBy("series").agg(F.percentile("y", F.lit(0.7)).alias("q")), "series"), ["series"], "y", "p", "q")
+
+
+def baseline(s: SparkSession, d: str) -> str:
+    """The first series, as the run to compare with."""
+    return bars(s, d).agg(F.min("series")).first()[0] or ""
 
 
 def equity(s: SparkSession, d: str) -> DataFrame:
@@ -120,22 +135,29 @@ QUERIES = {
     "momentum_backtest": lambda s, d: rounded(backtested(s, d).select("series", "week", "position", "turnover", "strategy_log_return", "cum_strategy_return", "drawdown")),
     "backtest_summary": lambda s, d: rounded(B.weekly_summary(backtested(s, d), ["series"], "target_log_return_next", "position")),
     "best_run": lambda s, d: B.weekly_summary(backtested(s, d), ["series"], "target_log_return_next", "position").filter("sharpe is not null").agg(F.max_by("series", F.struct("sharpe", "series")).alias("best"), F.round(F.max("sharpe"), 6).alias("sharpe"), F.every(F.col("total_return") < 0).alias("all_lose")),
-    "daily_summary": lambda s, d: rounded(B.daily_summary(daily_backtested(s, d), ["series"], "strategy_return")),
+    "daily_summary": lambda s, d: rounded(B.daily_summary(daily_backtested(s, d), ["series"], "strategy_return", "date", "position", "turnover")),
     "equity_curve": lambda s, d: rounded(equity(s, d)),
     "regression_metrics": lambda s, d: rounded(B.regression_metrics(predicted(s, d), ["series"], "target_log_return_next", "pred")),
     "spearman": lambda s, d: rounded(B.spearman(predicted(s, d), ["series"], "target_log_return_next", "pred")),
     "binary_metrics": lambda s, d: rounded(B.binary_metrics(predicted(s, d), ["series"], "target_up_next", "prob")),
     "roc_points": lambda s, d: rounded(B.roc_points(predicted(s, d).withColumn("prob", F.round("prob", 2)), ["series"], "target_up_next", "prob")),
     "confusion_matrix": lambda s, d: B.confusion(predicted(s, d).select("series", S.band_class(F.col("target_log_return_next"), 0.02).alias("y"), S.band_class(F.col("pred"), 0.01).alias("p")), ["series"], "y", "p", [-1, 0, 1]),
+    "class_metrics": lambda s, d: rounded(B.class_metrics(classed(s, d), ["series"], "y", "p", [-1, 0, 1])),
+    "label_counts": lambda s, d: P.label_counts(classed(s, d).filter("y is not null and p is not null"), ["series"], "y", [-2, -1, 0, 1, 2]),
+    "volatility_metrics": lambda s, d: rounded(volatility(s, d)),
+    "against_mean": lambda s, d: rounded(B.against_mean(predicted(s, d).withColumn("known", F.lit(0.001)), ["series"], "target_log_return_next", "pred", "known")),
+    "against_baseline": lambda s, d: rounded(B.against_baseline(B.regression_metrics(predicted(s, d), ["series"], "target_log_return_next", "pred").select("series", "r2", "rmse"), "series", baseline(s, d), ["r2", "rmse"])),
+    "sorted_runs": lambda s, d: rounded(B.weekly_summary(backtested(s, d), ["series"], "target_log_return_next", "position").orderBy(F.desc_nulls_last("n_traded"), "total_return", "series").select("series", "n_traded", "total_return")),
+    "sampled_cost": lambda s, d: rounded(P.sampled_cost(bars(s, d).groupBy(F.trunc("date", "month").alias("month")).agg(F.count(F.lit(1)).alias("rows")), "month", "rows")),
     "folds_expanding": lambda s, d: fold_counts(s, d),
     "folds_rolling": lambda s, d: fold_counts(s, d, 20),
     "folds_yearly": lambda s, d: rounded(yearly(s, d)),
     "fold_quantile": lambda s, d: rounded(fold_quantile(s, d)),
     "fold_scaled": lambda s, d: rounded(V.standardised(folded(s, d), ["series", "fold"], ["price_momentum_12w", "price_rolling_vol_4w"]).filter("role = 'test'").select("series", "fold", "week", "price_momentum_12w", "price_rolling_vol_4w"), 5),
-    "ridge_one_feature": lambda s, d: rounded(V.walk_forward(folded(s, d), ["series", "fold"], ["price_log_return"], "target_log_return_next", "week").select("series", "fold", "week", "y_pred", "n_train"), 5),
+    "ridge_one_feature": lambda s, d: rounded(model_rows(s, d, "ridge", columns=["price_log_return"]).select("series", "fold", "week", "y_pred", "n_train"), 5),
     "ridge_walk_forward": lambda s, d: rounded(model_rows(s, d, "ridge")),
     "ridge_grid_walk_forward": lambda s, d: rounded(model_rows(s, d, "ridge", None)),
-    "logit_walk_forward": lambda s, d: rounded(model_rows(s, d, "binary")),
+    "logit_walk_forward": lambda s, d: rounded(model_rows(s, d, "logit")),
     "three_class_walk_forward": lambda s, d: rounded(model_rows(s, d, "classes")),
 }
 
@@ -169,8 +191,9 @@ _DAILY = _BARS + f""", d0 AS (SELECT *, CASE WHEN close > 0 THEN ln(close) END A
 _DBT = _DAILY + f""", e0 AS (SELECT *, CASE WHEN price_momentum_5d > 0.003 THEN 1.0::DOUBLE WHEN price_momentum_5d < -0.003 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS position FROM daily),
  e1 AS (SELECT *, abs(position - coalesce(lag(position) {_D0}, 0)) AS turnover FROM e0), dbt AS (SELECT *, coalesce(position * target_next_1d_return, 0) - turnover * 5 / 1e4 AS r FROM e1)"""
 _PRED = _FEAT + """, p0 AS (SELECT *, (price_lag_return_1w + price_lag_return_2w) / 2 AS pred FROM feat), predicted AS (SELECT *, 1 / (1 + exp(-greatest(least(pred * 50, 35), -35))) AS prob FROM p0 WHERE pred IS NOT NULL)"""
+_CLS = "q AS (SELECT series, CASE WHEN target_log_return_next <= -0.02 THEN -1 WHEN target_log_return_next >= 0.02 THEN 1 ELSE 0 END AS y, CASE WHEN pred <= -0.01 THEN -1 WHEN pred >= 0.01 THEN 1 ELSE 0 END AS p FROM predicted WHERE target_log_return_next IS NOT NULL AND pred IS NOT NULL)"
 _FOLD = lambda roll: _FEAT + f""", panel AS (SELECT * FROM feat WHERE target_log_return_next IS NOT NULL), ends AS (SELECT min(week) AS lo, max(week) AS hi FROM panel WHERE week > DATE '{SPLIT}'),
- folds AS (SELECT k AS fold, (lo + (91 * k)::INT)::DATE AS test_from, (lo + (91 * k + 84)::INT)::DATE AS test_to, hi FROM ends, range(0, 2000) r(k) WHERE lo + (91 * k)::INT <= hi),
+ folds AS (SELECT k AS fold, (lo + (91 * k)::INT)::DATE AS test_from, (lo + (91 * k + 84)::INT)::DATE AS test_to, hi FROM ends, range(0, 100000) r(k) WHERE lo + (91 * k)::INT <= hi),
  folded AS (SELECT p.*, f.fold, CASE WHEN p.week < f.test_from THEN 'train' ELSE 'test' END AS role FROM panel p JOIN folds f ON p.week <= f.test_to{f" AND p.week >= f.test_from - {7 * roll}" if roll else ''})"""
 
 
@@ -202,7 +225,7 @@ ORACLE = {
     "momentum_backtest": f"WITH {_BT} SELECT series, {_T.format('week')}, {_r(['position', 'turnover', 'strategy_log_return', 'cum_strategy_return', 'drawdown'])} FROM bt",
     "backtest_summary": f"WITH {_SUM} SELECT series, n, n_traded, {_r(['total_return', 'annual_return', 'annual_vol', 'sharpe', 'benchmark_return', 'max_drawdown', 'mean_position', 'mean_turnover', 'hit_rate_traded', 'mean_return_traded'])} FROM summary",
     "best_run": f"WITH {_SUM} SELECT arg_max(series, (sharpe, series)) AS best, round(max(sharpe), 6) AS sharpe, bool_and(total_return < 0) AS all_lose FROM summary WHERE sharpe IS NOT NULL",
-    "daily_summary": f"WITH {_DBT}, t AS (SELECT series, count(*) AS n, exp(sum(ln(1 + r))) - 1 AS total_return, stddev_samp(r) * sqrt(252) AS annual_vol, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) AS sharpe FROM dbt GROUP BY series) SELECT series, n, round(total_return, 6) AS total_return, round(pow(1 + total_return, 252.0 / n) - 1, 6) AS annual_return, round(annual_vol, 6) AS annual_vol, round(sharpe, 6) AS sharpe FROM t",
+    "daily_summary": f"WITH {_DBT}, q AS (SELECT *, exp(sum(ln(1 + r)) {_D.format(' ROWS UNBOUNDED PRECEDING')}) AS wealth FROM dbt), q2 AS (SELECT *, wealth / max(wealth) {_D.format(' ROWS UNBOUNDED PRECEDING')} - 1 AS down FROM q), t AS (SELECT series, count(*) AS n, exp(sum(ln(1 + r))) - 1 AS total_return, stddev_samp(r) * sqrt(252) AS annual_vol, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252) AS sharpe, min(down) AS max_drawdown, avg(turnover) AS mean_turnover, avg(position) AS mean_position, avg((position = 0)::INT) AS cash_share FROM q2 GROUP BY series) SELECT series, n, round(total_return, 6) AS total_return, round(pow(1 + total_return, 252.0 / n) - 1, 6) AS annual_return, {_r(['annual_vol', 'sharpe', 'max_drawdown', 'mean_turnover', 'mean_position', 'cash_share'])} FROM t",
     "equity_curve": f"WITH {_DBT} SELECT series, {_T.format('date')}, round(exp(sum(ln(1 + r)) {_D.format(' ROWS UNBOUNDED PRECEDING')}), 6) AS equity FROM dbt UNION ALL SELECT series, strftime(min(date) - 1, '%Y-%m-%d'), 1.0 FROM dbt GROUP BY series",
     "regression_metrics": f"WITH {_PRED} SELECT series, count(*) AS n, round(avg(abs(target_log_return_next - pred)), 6) AS mae, round(sqrt(avg(pow(target_log_return_next - pred, 2))), 6) AS rmse, round(1 - sum(pow(target_log_return_next - pred, 2)) / nullif(sum(pow(target_log_return_next, 2)) - count(*) * pow(avg(target_log_return_next), 2), 0), 6) AS r2, round(avg((sign(target_log_return_next) = sign(pred))::INT), 6) AS direction_accuracy, round(corr(target_log_return_next, pred), 6) AS corr FROM predicted WHERE target_log_return_next IS NOT NULL GROUP BY series",
     "spearman": f"WITH {_PRED}, q AS (SELECT * FROM predicted WHERE target_log_return_next IS NOT NULL), rk AS (SELECT series, rank() OVER (PARTITION BY series ORDER BY target_log_return_next) + (count(*) OVER (PARTITION BY series, target_log_return_next) - 1) / 2.0 AS a, rank() OVER (PARTITION BY series ORDER BY pred) + (count(*) OVER (PARTITION BY series, pred) - 1) / 2.0 AS b FROM q) SELECT series, round(corr(a, b), 6) AS spearman FROM rk GROUP BY series",
@@ -215,4 +238,11 @@ ORACLE = {
     "fold_quantile": f"WITH {_FOLD(None)}, q AS (SELECT series, fold, quantile_cont(abs(target_log_return_next), 0.7) AS q FROM folded WHERE role = 'train' GROUP BY 1, 2) SELECT series, fold, round(q, 6) AS threshold, count(*) FILTER (abs(target_log_return_next) >= q) AS n_high, count(*) AS n FROM folded JOIN q USING (series, fold) WHERE role = 'test' GROUP BY series, fold, q",
     "fold_scaled": f"WITH {_FOLD(None)}, a AS (SELECT series, fold, week, role, {_STAT('price_momentum_12w')} AS price_momentum_12w, {_STAT('price_rolling_vol_4w')} AS price_rolling_vol_4w FROM folded), b AS (SELECT series, fold, week, role, {_SCALE('price_momentum_12w')}, {_SCALE('price_rolling_vol_4w')} FROM a) SELECT series, fold, {_T.format('week')}, price_momentum_12w, price_rolling_vol_4w FROM b WHERE role = 'test'",
     "ridge_one_feature": f"WITH {_FOLD(None)}, a AS (SELECT series, fold, week, role, target_log_return_next AS y, {_STAT('price_log_return')} AS x0 FROM folded), b AS (SELECT *, (x0 - avg(x0) FILTER (role = 'train') OVER w) / CASE WHEN stddev_pop(x0) FILTER (role = 'train') OVER w > 0 THEN stddev_pop(x0) FILTER (role = 'train') OVER w ELSE 1 END AS x FROM a WINDOW w AS (PARTITION BY series, fold)), m AS (SELECT series, fold, count(*) AS n_train, avg(y) AS my, (sum(x * y) - count(*) * avg(x) * avg(y)) / (sum(x * x) - count(*) * avg(x) * avg(x) + 1) AS k FROM b WHERE role = 'train' GROUP BY 1, 2 HAVING count(*) >= 20) SELECT series, fold, {_T.format('week')}, round(my + k * x, 5) AS y_pred, n_train FROM b JOIN m USING (series, fold) WHERE role = 'test'",
+    "class_metrics": f"WITH {_PRED}, {_CLS}, m AS (SELECT series, count(*) AS n, avg((y = p)::INT) AS accuracy, {', '.join(f'count(*) FILTER (y = {c}) AS n_{t}, count(*) FILTER (p = {c}) AS s_{t}, count(*) FILTER (y = {c} AND p = {c}) AS b_{t}' for c, t in ((-1, 'm1'), (0, '0'), (1, '1')))} FROM q GROUP BY series), k AS (SELECT *, {', '.join(f'b_{t} / nullif(n_{t}, 0) AS recall_{t}, coalesce(2 * b_{t} / nullif(n_{t} + s_{t}, 0), 0) AS f_{t}' for t in ('m1', '0', '1'))} FROM m) SELECT series, n, n_m1, n_0, n_1, {_r(['accuracy', 'recall_m1', 'recall_0', 'recall_1'])}, round(list_avg(list_filter([recall_m1, recall_0, recall_1], lambda x: x IS NOT NULL)), 6) AS balanced_accuracy_present, round((f_m1 + f_0 + f_1) / 3, 6) AS macro_f1, round((n_m1 + n_1) / n, 6) AS event_rate, n_m1 > 0 AND n_1 > 0 AS has_both_ends FROM k",
+    "label_counts": f"WITH {_PRED}, {_CLS}, g AS (SELECT DISTINCT series FROM q) SELECT g.series, l.y, (SELECT count(*) FROM q WHERE q.series = g.series AND q.y = l.y) AS n FROM g, (VALUES (-2), (-1), (0), (1), (2)) l(y)",
+    "volatility_metrics": f"WITH {_FEAT}, x AS (SELECT series, abs(target_log_return_next) AS y, price_rolling_vol_4w AS p FROM feat WHERE target_log_return_next IS NOT NULL AND price_rolling_vol_4w IS NOT NULL), x1 AS (SELECT *, quantile_cont(y, 0.7) OVER (PARTITION BY series) AS q, rank() OVER (PARTITION BY series ORDER BY y) + (count(*) OVER (PARTITION BY series, y) - 1) / 2.0 AS a, rank() OVER (PARTITION BY series ORDER BY p) + (count(*) OVER (PARTITION BY series, p) - 1) / 2.0 AS b FROM x) SELECT series, count(*) AS n, round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg(pow(y - p, 2))), 6) AS rmse, round(1 - sum(pow(y - p, 2)) / nullif(sum(y * y) - count(*) * avg(y) * avg(y), 0), 6) AS r2, round(avg((sign(y) = sign(p))::INT), 6) AS direction_accuracy, round(corr(y, p), 6) AS corr, round(corr(a, b), 6) AS spearman, round(avg((y >= q)::INT), 6) AS high_share, round(avg(((y >= q) = (p >= q))::INT), 6) AS high_accuracy, round(count(*) FILTER (y >= q AND p >= q) / nullif(count(*) FILTER (y >= q), 0), 6) AS high_recall FROM x1 GROUP BY series",
+    "against_mean": f"WITH {_PRED} SELECT series, count(*) AS n, round(1 - avg(pow(target_log_return_next - pred, 2)) / nullif(avg(pow(target_log_return_next - 0.001, 2)), 0), 6) AS oos_r2, round(CASE WHEN stddev_pop(pred) > 0 AND stddev_pop(target_log_return_next) > 0 THEN corr(target_log_return_next, pred) END, 6) AS corr, round(avg((sign(target_log_return_next) = sign(pred))::INT), 6) AS direction_accuracy FROM predicted WHERE target_log_return_next IS NOT NULL GROUP BY series",
+    "against_baseline": f"WITH {_PRED}, m AS (SELECT series, sqrt(avg(pow(target_log_return_next - pred, 2))) AS rmse, 1 - sum(pow(target_log_return_next - pred, 2)) / nullif(sum(pow(target_log_return_next, 2)) - count(*) * pow(avg(target_log_return_next), 2), 0) AS r2 FROM predicted WHERE target_log_return_next IS NOT NULL GROUP BY series), b AS (SELECT * FROM m WHERE series = (SELECT min(series) FROM bars)) SELECT m.series, round(m.r2, 6) AS r2, round(m.rmse, 6) AS rmse, round(m.r2 - b.r2, 6) AS r2_delta, round(m.rmse - b.rmse, 6) AS rmse_delta, (SELECT bool_and(r2 < 0) FROM m) AS all_r2_negative, (SELECT bool_and(rmse < 0) FROM m) AS all_rmse_negative FROM m LEFT JOIN b ON true",
+    "sorted_runs": f"WITH {_SUM} SELECT series, n_traded, round(total_return, 6) AS total_return FROM summary ORDER BY n_traded DESC NULLS LAST, total_return, series",
+    "sampled_cost": f"WITH {_BARS}, m AS (SELECT date_trunc('month', date) AS month, count(*) AS c FROM bars GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY month) AS i, count(*) OVER () AS n FROM m), s AS (SELECT * FROM k WHERE i IN (1, n // 2 + 1, n)) SELECT max(n)::INT AS n_units, count(*)::INT AS n_sampled, round(avg(c), 6) AS mean_cost, round(avg(c) * max(n), 6) AS total_cost FROM s",
 }

@@ -13,7 +13,7 @@ from sheaf.operators.tfidf import STOP_WORDS, tfidf
 from sheaf.plans.point_in_time import SCORES
 from sheaf.plans.prices import rounded, weeks
 from sheaf.runtime import read
-from sheaf.sources.html import anchors
+from sheaf.sources.html import anchors, in_dates, last_page, releases
 
 DAY = "yyyy-MM-dd"
 
@@ -45,15 +45,64 @@ def feature_panel(s: SparkSession, d: str) -> DataFrame:
 
 
 def report_text(s: SparkSession, d: str) -> DataFrame:
-    """The three sections under their headings, empty ones left out."""
-    part = lambda head, c: F.when(F.coalesce(F.trim(c), F.lit("")) != "", F.concat(F.lit(f"[{head}]\n"), F.col(c)))
-    whole = F.concat_ws("\n\n", part("WEATHER HIGHLIGHTS", "weather_highlights"), part("CORN SECTION", "corn_section"), part("CORN PROGRESS TABLE", "corn_table_text"))
-    return read(s, d, "wwcb_core_text").select("bulletin_id", whole.alias("report_text"))
+    """The three sections under their headings, which stay where a section is empty."""
+    return read(s, d, "wwcb_core_text").select("bulletin_id", X.report_text(F.col("weather_highlights"), F.col("corn_section"), F.col("corn_table_text")).alias("report_text"))
 
 
-def headlines(s: SparkSession, d: str) -> DataFrame:
-    """The headline query: filter, label, distinct."""
-    return N.headline_filter(read(s, d, "news_headlines").select("gkg_date", "title", "url", "v2themes", "domain"), "title", "url", "v2themes").select(F.date_format("gkg_date", "yyyy-MM-dd HH:mm:ss").alias("at"), "title", "url", "domain", F.col("match_type").alias("kind")).distinct()
+# parts of the invented districts' names, as the default places are not in these tables
+PLACES = ("mere", "fold", "castle", "port")
+KEPT = ["gkg_date", "source_url", "source_name", "v2tone", "v2themes", "v2locations"]
+
+
+def headlines(s: SparkSession, d: str, expanded: bool = True, most: int | None = None) -> DataFrame:
+    """The headline query with its default terms."""
+    pages = read(s, d, "news_headlines")
+    out = N.headline_query(pages, F.col("title"), "source_url", "v2themes", "v2locations", "gkg_date", KEPT, N.Terms(locations=PLACES), expanded, most)
+    return out.withColumn("gkg_date", F.date_format("gkg_date", "yyyy-MM-dd HH:mm:ss"))
+
+
+def page_titles(s: SparkSession, d: str) -> DataFrame:
+    """Titles out of the markup they travel in, and cleaned of tails put behind them."""
+    tails = F.array(*map(F.lit, ["", " idUSKBN1FL5ZJ", " 20180205 00011", " 2018 02 05", " 1234567", " %C3%A9t%C3%A9"]))
+    raw = read(s, d, "news_headlines").filter("title is not null").select("row_id", "title", F.concat("title", F.get(tails, F.pmod("row_id", F.lit(6)).cast("int"))).alias("tailed"))
+    escaped = F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    extras = F.when(F.pmod("row_id", F.lit(7)) > 0, F.concat(F.lit("<PAGE_LINKS>x</PAGE_LINKS><PAGE_TITLE> "), escaped, F.lit(" </PAGE_TITLE>")))
+    return raw.select("row_id", X.page_title(extras).alias("page_title"), X.clean_headline(F.col("tailed")).alias("cleaned"))
+
+
+def listed(s: SparkSession, d: str) -> DataFrame:
+    """Releases out of listing pages made of the documents: dated labels, dated addresses, undated links and repeats."""
+    day = F.col("published_at")
+    dated = F.concat(F.lit("Report of "), F.date_format(day, "MMMM d, yyyy"), F.lit(" txt"))
+    link = lambda href, label: F.concat(F.lit('<li><a href="'), href, F.lit('">'), label, F.lit("</a></li>"))
+    own, other = F.concat(F.lit("/r/"), "doc_id", F.lit(".txt")), F.concat(F.lit("s/Week-of-"), F.date_format(day, "MMM-d-yyyy"), F.lit("-"), "doc_id", F.lit(".txt"))
+    page = read(s, d, "documents").select("doc_id", F.concat(F.lit("<ul>"), F.when(day.isNotNull(), F.concat(link(own, dated), link(own, dated), link(other, F.lit("plain")))).otherwise(link(own, F.lit("undated txt"))), link(F.lit("/f.pdf"), F.lit("May 1, 2023")), F.lit('<a href="?page=3">3</a><a href="/l?x=1&amp;page=12">12</a></ul>')).alias("html"))
+    found = releases(page, "doc_id", "html", "https://host.example/list/")
+    return in_dates(found, "release_date", "2023-03-01", "2024-06-30").join(page.select("doc_id", last_page(F.col("html")).alias("last_page")), "doc_id").select("doc_id", F.date_format("release_date", DAY).alias("release_date"), "url", "file_name", "last_page")
+
+
+def payload_rows(s: SparkSession, d: str) -> DataFrame:
+    """Articles out of JSON replies made of the headlines: two lists, one of them empty, with repeats and gaps."""
+    item = F.to_json(F.struct("title", "url", F.date_format("seendate", "yyyyMMdd'T'HHmmss'Z'").alias("seendate"), "domain"))
+    n = read(s, d, "news_headlines").select(F.concat(F.lit('{"articles": [], "'), F.when(F.pmod("row_id", F.lit(2)) == 0, "results").otherwise("data"), F.lit('": ['), item, F.lit(", "), item, F.lit(', {"title": "t"}]}')).alias("reply"), F.lpad(F.col("row_id").cast("string"), 12, "0").alias("query"))
+    return N.article_rows(n, "reply", "query").select("article_id", F.date_format("seendate", "yyyy-MM-dd HH:mm:ss").alias("seendate"), F.date_format("week", DAY).alias("week"))
+
+
+def reply_texts(s: SparkSession, d: str) -> DataFrame:
+    """Texts of nested replies, prompts cut to a length, and checked scores."""
+    reply = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.lit("output_text").alias("type"), F.col("national_ag_summary").alias("text")), F.struct(F.lit("other").alias("type"), F.lit("no").alias("text"))).alias("content")), F.struct(F.array(F.struct(F.lit("output_text").alias("type"), F.lit("end").alias("text"))).alias("content"))).alias("output")))
+    ask = X.prompt("Report of {day}, week {week}:\n{text}\nGive seven scores.", {"day": F.col("report_date"), "week": F.col("week"), "text": X.shortened(F.col("national_ag_summary"), 60)})
+    return read(s, d, "wwcb_core_text").select("bulletin_id", X.reply_text(reply).alias("said"), F.md5(ask.cast("binary")).alias("prompt_md5"))
+
+
+def checked_scores(s: SparkSession, d: str) -> DataFrame:
+    """Scores of JSON replies under `answer`, `features` or bare, checked against their ranges."""
+    names = dict.fromkeys(SCORES[:6], (0, 3)) | {SCORES[6]: (-2, 2)}
+    bare = F.to_json(F.struct(*SCORES, F.lit("x").alias("glm_model")))
+    k = F.pmod("bulletin_id", F.lit(3))
+    reply = F.when(k == 0, bare).when(k == 1, F.concat(F.lit('{"answer": '), bare, F.lit("}"))).otherwise(F.concat(F.lit('{"features": '), bare, F.lit("}")))
+    some = read(s, d, "report_scores").filter(" and ".join(f"{c} between {lo} and {hi}" for c, (lo, hi) in names.items()))
+    return some.select("bulletin_id", X.check_scores(reply, names, "ai_").alias("x")).select("bulletin_id", *[F.round(F.col(f"x.{c}"), 6).alias(c) for c in SCORES])
 
 
 def partitions(s: SparkSession, d: str) -> DataFrame:
@@ -98,6 +147,14 @@ QUERIES = {
     "feature_panel": lambda s, d: rounded(feature_panel(s, d)),
     "report_text": report_text,
     "headline_filter": headlines,
+    "headline_filter_direct": lambda s, d: headlines(s, d, False),
+    "headline_query_first": lambda s, d: headlines(s, d, True, 50).select("gkg_date"),
+    "page_titles": page_titles,
+    "release_listing": listed,
+    "article_rows": payload_rows,
+    "reply_texts": reply_texts,
+    "checked_scores": checked_scores,
+    "aliased": lambda s, d: N.without_repeats(N.with_aliases(read(s, d, "news_headlines").select("row_id", "headline", "source_url", "source_name", "gkg_date"))).select("row_id", "title", "domain", "article_id", F.date_format("week", DAY).alias("week")),
     "partition_counts": partitions,
     "html_links": html_links,
     "calendar_dates": calendar_dates,
@@ -114,9 +171,9 @@ QUERIES = {
     "not_scored": lambda s, d: N.not_done(read(s, d, "wwcb_core_text"), read(s, d, "report_scores"), ["source_file"]).select("bulletin_id"),
     "file_completeness": lambda s, d: read(s, d, "wwcb_core_text").filter("week is not null").groupBy("district", "week").agg(F.countDistinct("revision").alias("revisions"), F.count_if(F.col("corn_table_text").isNotNull()).alias("tables")).withColumn("complete", F.col("tables") > 0),
     "mixed_union": lambda s, d: read(s, d, "documents").select("doc_id", F.col("lang").alias("label")).unionByName(read(s, d, "eval_items").select("item_id", F.col("suite").alias("label")), allowMissingColumns=True).groupBy("label").agg(F.count("doc_id").alias("docs"), F.count("item_id").alias("items")),
-    "short_texts": lambda s, d: read(s, d, "documents").select("doc_id", F.md5(X.shortened(F.col("text"), 400).cast("binary")).alias("m")),
-    "clean_lines": lambda s, d: read(s, d, "wwcb_core_text").select("bulletin_id", F.md5(X.without_lines(X.normal_space(F.col("report_text")), ["^\\[", "^Stage"]).cast("binary")).alias("m")),
-    "sections": lambda s, d: read(s, d, "wwcb_core_text").select("bulletin_id", F.length(X.section(F.col("report_text"), "\\[CORN SECTION\\]\n", ["\\[CORN PROGRESS TABLE\\]"])).alias("n")),
+    "short_texts": lambda s, d: read(s, d, "documents").select("doc_id", X.shortened(F.col("text"), 400).alias("m")),
+    "clean_lines": lambda s, d: read(s, d, "wwcb_core_text").select("bulletin_id", X.without_lines(X.normal_space(F.col("report_text")), ["^\\[", "^Stage"]).alias("m")),
+    "sections": lambda s, d: read(s, d, "wwcb_core_text").select("bulletin_id", X.slice_between(F.col("report_text"), "\\[corn section\\]\n", ["\\[CORN PROGRESS TABLE\\]", "\\[NONE\\]"]).alias("part")),
     "tfidf": lambda s, d: rounded(tfidf(read(s, d, "wwcb_core_text"), "bulletin_id", "national_ag_summary")),
     "panel_summary": lambda s, d: feature_panel(s, d).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("series").alias("n_series"), F.date_format(F.min("week"), DAY).alias("first"), F.date_format(F.max("week"), DAY).alias("last"), F.count_if(F.col("n_reports").isNotNull()).alias("with_scores")),
     "batches": lambda s, d: read(s, d, "report_scores").select("bulletin_id", "week").filter("week is not null").withColumn("batch", F.floor((F.expr("row_number() over (partition by week order by bulletin_id)") - 1) / 5)).groupBy(F.date_format("week", DAY).alias("week"), "batch").agg(F.count(F.lit(1)).alias("n")),
@@ -131,35 +188,53 @@ _KWS = f"SELECT {_FRI.format(_RD)} AS week, count(*) AS report_count, {_KW} FROM
 _WS = f"SELECT {_FRI.format('week')} AS week, {', '.join(f'avg({c}) AS {c}' for c in SCORES)}, count(*) AS n_reports FROM report_scores WHERE week IS NOT NULL GROUP BY 1"
 _BAR = """bars AS (SELECT symbol AS series, date, x.c AS close, x.v AS volume FROM (SELECT symbol, date, arg_max({'c': close, 'v': volume::BIGINT}, (loaded_at, bar_id)) AS x FROM daily_prices WHERE symbol IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2) WHERE x.c IS NOT NULL AND NOT isnan(x.c)),
  weeks AS (SELECT series, (date + ((12 - dayofweek(date)) % 7)::INT)::DATE AS week, arg_max(close, date) AS close, sum(volume)::BIGINT AS volume FROM bars GROUP BY 1, 2)"""
-_TXT = "lower(coalesce(title, '') || ' ' || coalesce(regexp_replace(url, '[-_/]', ' ', 'g'), '') || ' ' || coalesce(v2themes, ''))"
-_ANY = lambda w: f"regexp_matches(t, '(?:^|[^a-z0-9_])(?:{'|'.join(w)})(?:[^a-z0-9_]|$)')"
-_HAS = lambda *w: "greatest(" + ", ".join(["0"] + [f"contains(t, '{x}')::INT" for x in w]) + ")"
+_B = lambda t, w: f"regexp_matches({t}, '\\b({'|'.join(w)})\\b')"
+_HEADS = f"h AS (SELECT *, lower(title) AS h, lower(title || ' ' || coalesce(v2themes, '') || ' ' || coalesce(source_url, '')) AS s, lower(coalesce(v2locations, '')) AS p FROM news_headlines WHERE trim(title) <> '')"
+_DIRECT = _B("h", ["corn", "maize", "ethanol"])
+_WX = _B("h", "drought,heat,heat wave,flood,flooding,rain,rainfall,dry weather,dryness,soil moisture,planting,harvest,yield,crop condition,crop conditions".split(",")) + " AND " + _B("s", "crop,crops,farm,farmer,farmers,agriculture,agricultural,grain,grains,corn belt,iowa,illinois,nebraska,minnesota,indiana,ohio,kansas,missouri,wisconsin".split(","))
+_QN = lambda match: f"""WITH {_HEADS}, q AS (SELECT DISTINCT gkg_date, source_url, source_name, v2tone, v2themes, v2locations, title AS headline_raw, CASE WHEN {_DIRECT} THEN 'direct_corn' WHEN {_WX} THEN 'weather_ag' ELSE 'other' END AS match_type FROM h
+ WHERE ({match}) AND {_B('s', 'corn,maize,usda,ethanol,biofuel,drought,harvest,planting,yield,crop,grain,farm,soybean'.split(','))} AND NOT {_B('h', 'cornwall,cornell,unicorn,acorn,cornhuskers,cornhole,cornucopia,popcorn'.split(','))} AND len(list_filter(['mere', 'fold', 'castle', 'port'], lambda x: contains(p, x))) > 0)"""
+_HAS = lambda *w: "(" + " OR ".join(f"contains(t, '{x}')" for x in w) + ")"
+_LATE = _HAS("behind", "delay", "slow")
+_STRIP = lambda x: f"regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_CLEAN = lambda x: _STRIP(f"array_to_string(list_transform(regexp_split_to_array(regexp_replace(regexp_replace({x}, '[ \\t\u00a0]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\r\\n|[\\n\\r\\f]'), lambda l: trim(l)), chr(10))")
+_TAIL = "['', ' idUSKBN1FL5ZJ', ' 20180205 00011', ' 2018 02 05', ' 1234567', ' été'][(row_id % 6 + 1)::INT]"
 ORACLE = {
     "weekly_news_parity": f"WITH {_EV}, q AS ({_WN('date_trunc(' + chr(39) + 'week' + chr(39) + ', day)')}) {_OUT}",
     "weekly_news": f"WITH {_EV}, q AS ({_WN(_FRI.format('day'))}) {_OUT}",
     "weekly_scores": f"WITH q AS ({_WS}) SELECT strftime(week, '%Y-%m-%d') AS week, {', '.join(f'round({c}, 6) AS {c}' for c in SCORES)}, n_reports FROM q",
     "feature_panel": f"WITH {_BAR}, {_EV.replace('::DATE AS day', '::DATE - INTERVAL 6 MONTH AS day')}, g AS ({_WN(_FRI.format('day::DATE'), '')}), k AS ({_KWS}), sc AS ({_WS}) SELECT strftime(w.week, '%Y-%m-%d') AS week, series, round(close, 6) AS close, volume, {', '.join(f'round({c}, 6) AS {c}' for c in SCORES)}, n_reports, coalesce(report_count, 0) AS report_count, {', '.join(f'coalesce(text_kw_{c}, 0) AS text_kw_{c}' for c in X.KEYWORDS)}, round(relevance_score, 6) AS gdelt_relevance_score, round(yield_supply_risk, 6) AS gdelt_yield_supply_risk FROM weeks w LEFT JOIN sc USING (week) LEFT JOIN k USING (week) LEFT JOIN g USING (week)",
-    "report_text": "SELECT bulletin_id, concat_ws(chr(10) || chr(10), " + ", ".join(f"CASE WHEN trim(coalesce({c}, '')) <> '' THEN '[{h}]' || chr(10) || {c} END" for h, c in (("WEATHER HIGHLIGHTS", "weather_highlights"), ("CORN SECTION", "corn_section"), ("CORN PROGRESS TABLE", "corn_table_text"))) + ") AS report_text FROM wwcb_core_text",
-    "headline_filter": f"WITH q AS (SELECT *, {_TXT} AS t FROM news_headlines WHERE trim(coalesce(title, '')) <> '') SELECT DISTINCT strftime(gkg_date AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS \"at\", title, url, domain, CASE WHEN {_ANY(X.REQUIRED)} THEN 'direct' WHEN {_ANY(X.WEATHER)} AND {_ANY(X.AG_CONTEXT)} THEN 'weather_ag' ELSE 'other' END AS kind FROM q WHERE ({_ANY(X.REQUIRED)} OR ({_ANY(X.WEATHER)} AND {_ANY(X.AG_CONTEXT)})) AND len(list_filter({X.REQUIRED + X.WEATHER}, lambda x: contains(t, x))) > 0 AND NOT {_ANY(X.EXCLUDE)}",
+    "report_text": f"SELECT bulletin_id, {_CLEAN("'[WEATHER HIGHLIGHTS]' || chr(10) || coalesce(weather_highlights, '') || chr(10) || chr(10) || '[CORN SECTION]' || chr(10) || coalesce(corn_section, '') || chr(10) || chr(10) || '[CORN PROGRESS TABLE]' || chr(10) || coalesce(corn_table_text, '')")} AS report_text FROM wwcb_core_text",
+    "headline_filter": _QN(f"{_DIRECT} OR ({_WX})") + " SELECT * REPLACE (strftime(gkg_date AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS gkg_date) FROM q",
+    "headline_filter_direct": _QN(_DIRECT) + " SELECT * REPLACE (strftime(gkg_date AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS gkg_date) FROM q",
+    "headline_query_first": _QN(f"{_DIRECT} OR ({_WX})") + " SELECT strftime(gkg_date AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS gkg_date FROM q ORDER BY q.gkg_date NULLS FIRST LIMIT 50",
+    "page_titles": f"SELECT row_id, CASE WHEN row_id % 7 > 0 THEN {_STRIP('title')} END AS page_title, {_STRIP(f"regexp_replace(title || CASE WHEN row_id % 6 = 5 THEN {_TAIL} ELSE '' END, '[\\s\\p{{Z}}]+', ' ', 'g')")} AS cleaned FROM news_headlines WHERE title IS NOT NULL",
+    "release_listing": """WITH x AS (SELECT doc_id, published_at AT TIME ZONE 'UTC' AS t FROM documents WHERE published_at IS NOT NULL), r AS (SELECT doc_id, t, 'https://host.example/r/' || doc_id || '.txt' AS url FROM x UNION ALL SELECT doc_id, t, 'https://host.example/list/s/Week-of-' || strftime(t, '%b-%-d-%Y') || '-' || doc_id || '.txt' FROM x)
+ SELECT doc_id, strftime(t, '%Y-%m-%d') AS release_date, url, regexp_extract(url, '[^/]*$') AS file_name, 12 AS last_page FROM r WHERE t::DATE BETWEEN DATE '2023-03-01' AND DATE '2024-06-30'""",
+    "article_rows": f"WITH w AS (SELECT row_id, {_STRIP('url')} AS u, {_STRIP('title')} AS h, seendate AT TIME ZONE 'UTC' AS t FROM news_headlines WHERE seendate IS NOT NULL), x AS (SELECT substr(sha1(u || chr(10) || h), 1, 16) AS article_id, t, row_number() OVER (PARTITION BY u, h ORDER BY row_id) AS n FROM w WHERE u <> '' AND h <> '') SELECT article_id, strftime(date_trunc('second', t), '%Y-%m-%d %H:%M:%S') AS seendate, strftime({_FRI.format('t::DATE')}, '%Y-%m-%d') AS week FROM x WHERE n = 1",
+    "reply_texts": "SELECT bulletin_id, CASE WHEN national_ag_summary IS NULL THEN 'end' ELSE national_ag_summary || chr(10) || 'end' END AS said, md5('Report of ' || coalesce(report_date, '') || ', week ' || coalesce(week, '') || ':' || chr(10) || coalesce(CASE WHEN length(national_ag_summary) > 60 THEN rtrim(left(national_ag_summary, 60)) || chr(10) || chr(10) || '[TRUNCATED]' ELSE national_ag_summary END, '') || chr(10) || 'Give seven scores.') AS prompt_md5 FROM wwcb_core_text",
+    "checked_scores": f"SELECT bulletin_id, {', '.join(f'round({c}, 6) AS {c}' for c in SCORES)} FROM report_scores WHERE {' AND '.join(f'{c} BETWEEN 0 AND 3' for c in SCORES[:6])} AND {SCORES[6]} BETWEEN -2 AND 2",
+    "aliased": f"SELECT row_id, headline AS title, source_name AS domain, substr(sha1(coalesce(source_url, '') || chr(10) || coalesce(headline, '')), 1, 16) AS article_id, strftime({_FRI.format("(gkg_date AT TIME ZONE 'UTC')::DATE")}, '%Y-%m-%d') AS week FROM news_headlines",
     "partition_counts": "WITH q AS (SELECT gkg_date AT TIME ZONE 'UTC' AS g FROM news_headlines) SELECT year(g) AS year, month(g) AS month, count(*) AS n, strftime(min(g), '%Y-%m-%d') AS first, strftime(max(g), '%Y-%m-%d') AS last FROM q WHERE g >= TIMESTAMP '2023-02-10' AND g < TIMESTAMP '2023-05-20' GROUP BY 1, 2",
     "html_links": "SELECT doc_id, 'https://host.example/r/' || doc_id || '.txt' AS url FROM documents WHERE title IS NOT NULL",
     "calendar_dates": f"WITH q AS (SELECT bulletin_id, {_RD} AS d FROM wwcb_core_text) SELECT bulletin_id, strftime(d, '%Y%m%d')::INT AS ymd, strftime(d, '%Y-%m-%d') AS back, strftime({_FRI.format('d')}, '%Y-%m-%d') AS fri, strftime(date_trunc('week', d), '%Y-%m-%d') AS mon, 'https://host.example/' || strftime(d, '%Y/%Y%m/%Y%m%d') || '/f.01.grb2' AS request_url, strftime(date_trunc('month', d), '%Y-%m-%d') AS month_start, strftime(last_day(d) + 1, '%Y-%m-%d') AS next_month, strftime(d + 28, '%Y-%m-%d') AS valid FROM q WHERE d IS NOT NULL",
     "demo_releases": "WITH t AS (SELECT unnest(generate_series(DATE '2023-01-03', DATE '2023-12-26', INTERVAL 7 DAY))::DATE AS r), k AS (SELECT * FROM (VALUES ('Crop Progress', 'planting and harvest progress'), ('Weekly Weather', 'rain and heat')) v(p, a)) SELECT strftime(r, '%Y-%m-%d') AS release_date, p AS publication, p || ' report for week ' || week(r) || ': ' || a AS text FROM t, k",
     "json_replies": "WITH q AS (SELECT event_id, CASE WHEN event_id % 3 < 2 THEN (props::JSON ->> 'k')::INT END AS score FROM events) SELECT event_id, score, coalesce(score BETWEEN 0 AND 3, false) AS valid FROM q",
     "article_ids": "SELECT row_id, substr(sha1(coalesce(url, '') || chr(10) || coalesce(title, '')), 1, 16) AS own_id FROM news_headlines",
-    "slug_titles": "WITH q AS (SELECT row_id, trim(regexp_replace(regexp_replace(regexp_extract(regexp_replace(regexp_extract(regexp_replace(url, '[^\\x21-\\x7e]', '', 'g'), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1), '\\.[A-Za-z0-9]{1,5}$', ''), '[-_+]+', ' ', 'g')) AS w FROM news_headlines WHERE url IS NOT NULL) SELECT row_id, CASE WHEN length(w) >= 8 AND regexp_matches(w, '[A-Za-z]') THEN w END AS slug FROM q",
+    "slug_titles": "WITH q AS (SELECT row_id, trim(regexp_replace(regexp_replace(url_decode(regexp_replace(regexp_extract(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1), '(?i)\\.(?:html?|php|aspx?)$', '')), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS w FROM news_headlines WHERE url IS NOT NULL) SELECT row_id, CASE WHEN length(w) >= 8 AND regexp_matches(w, '[A-Za-z]') THEN w END AS slug FROM q",
     "headlines_first": "SELECT title, row_id FROM (SELECT title, row_id, row_number() OVER (PARTITION BY title ORDER BY gkg_date, url NULLS FIRST, row_id) AS n FROM news_headlines WHERE title IS NOT NULL) WHERE n = 1",
     "last_per_source": "SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY published_at DESC, doc_id DESC) AS n FROM documents WHERE source IS NOT NULL AND published_at IS NOT NULL) WHERE n <= 3",
     "top_documents": "SELECT doc_id, n_chars, title FROM documents ORDER BY n_chars DESC NULLS LAST, doc_id LIMIT 10",
     "keyword_weeks": f"WITH q AS ({_KWS}) SELECT strftime(week, '%Y-%m-%d') AS week, * EXCLUDE (week) FROM q",
-    "rule_scores": f"WITH q AS (SELECT bulletin_id, lower(coalesce(report_text, '')) AS t FROM wwcb_core_text), a AS (SELECT bulletin_id, t, least(3, 2 * {_HAS('drought', 'dry')} + {_HAS('short of moisture', 'powder-dry')}) AS ai_moisture_stress, least(3, 2 * {_HAS('heat', 'hot')}) AS ai_heat_stress, least(3, 2 * {_HAS('flood', 'saturated', 'waterlogged')} + {_HAS('heavy rain', 'downpour')}) AS ai_excess_rain_risk, 2 * {_HAS('planting')} * {_HAS('delay', 'postponed', 'slowed')} AS ai_planting_delay_risk, 2 * {_HAS('harvest')} * {_HAS('delay', 'postponed', 'slowed')} AS ai_harvest_delay_risk, {_HAS('better than expected', 'improved', 'excellent')} - {_HAS('very poor', 'threatened', 'below average')} AS ai_crop_condition_trend FROM q) SELECT * EXCLUDE (t), least(3, greatest(ai_moisture_stress, ai_heat_stress)) AS ai_yield_risk FROM a",
+    "rule_scores": f"WITH q AS (SELECT bulletin_id, lower(coalesce(report_text, '')) AS t FROM wwcb_core_text), a AS (SELECT *, {_HAS('dry', 'drought', 'short topsoil', 'moisture stress')} AS m, {_HAS('hot', 'heat', 'above-normal temperatures')} AS h FROM q) SELECT bulletin_id, m::INT::DOUBLE AS ai_moisture_stress, h::INT::DOUBLE AS ai_heat_stress, {_HAS('wet', 'rain', 'flood', 'excessive precipitation')}::INT::DOUBLE AS ai_excess_rain_risk, (contains(t, 'plant') AND {_LATE})::INT::DOUBLE AS ai_planting_delay_risk, (contains(t, 'harvest') AND {_LATE})::INT::DOUBLE AS ai_harvest_delay_risk, (m OR h)::INT::DOUBLE AS ai_yield_risk, least((contains(t, 'good to excellent') AND {_HAS('above', 'improved', 'ahead')})::INT, CASE WHEN {_HAS('behind', 'decline')} THEN -1 ELSE 1 END)::DOUBLE AS ai_crop_condition_trend FROM a",
     "text_by_week": "SELECT district, week, md5(string_agg(national_ag_summary, ' ' ORDER BY bulletin_id)) AS text_md5, count(*) AS report_count FROM wwcb_core_text WHERE national_ag_summary IS NOT NULL GROUP BY 1, 2",
     "not_scored": "SELECT bulletin_id FROM wwcb_core_text b WHERE NOT EXISTS (SELECT 1 FROM report_scores r WHERE r.source_file = b.source_file)",
     "file_completeness": "SELECT district, week, count(DISTINCT revision) AS revisions, count(corn_table_text) AS tables, count(corn_table_text) > 0 AS complete FROM wwcb_core_text WHERE week IS NOT NULL GROUP BY 1, 2",
     "mixed_union": "SELECT label, count(doc_id) AS docs, count(item_id) AS items FROM (SELECT doc_id, lang AS label, NULL AS item_id FROM documents UNION ALL SELECT NULL, suite, item_id FROM eval_items) GROUP BY label",
-    "short_texts": "SELECT doc_id, md5(CASE WHEN length(text) > 400 THEN rtrim(left(text, 400)) || chr(10) || '[TRUNCATED]' ELSE text END) AS m FROM documents",
-    "sections": "WITH q AS (SELECT bulletin_id, report_text AS t, position('[CORN SECTION]' || chr(10) IN report_text) AS a, position('[CORN PROGRESS TABLE]' IN report_text) AS b FROM wwcb_core_text) SELECT bulletin_id, CASE WHEN a > 0 THEN length(trim(CASE WHEN b > a THEN substr(t, a + 15, b - a - 15) ELSE substr(t, a + 15) END)) END AS n FROM q",
-    "tfidf": "WITH x AS (SELECT bulletin_id, list_filter(regexp_extract_all(lower(coalesce(national_ag_summary, '')), '[a-z0-9]{2,}'), lambda w: NOT list_contains(" + str(STOP_WORDS) + ", w)) AS w FROM wwcb_core_text), t AS (SELECT bulletin_id, unnest(w) AS term FROM x UNION ALL SELECT bulletin_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM x), c AS (SELECT bulletin_id, term, count(*) AS tf FROM t GROUP BY 1, 2), v AS (SELECT term, sum(tf) AS n, count(*) AS df FROM c GROUP BY 1 ORDER BY n DESC, term LIMIT 50), u AS (SELECT bulletin_id, term, tf * (ln((1.0 + (SELECT count(*) FROM x)) / (1.0 + df)) + 1) AS u FROM c JOIN v USING (term)) SELECT bulletin_id, term, round(u / sqrt(sum(u * u) OVER (PARTITION BY bulletin_id)), 6) AS weight FROM u",
+    "short_texts": "SELECT doc_id, CASE WHEN length(text) > 400 THEN rtrim(left(text, 400)) || chr(10) || chr(10) || '[TRUNCATED]' ELSE text END AS m FROM documents",
+    "clean_lines": f"WITH q AS (SELECT bulletin_id, {_CLEAN('report_text')} AS t FROM wwcb_core_text) SELECT bulletin_id, array_to_string(list_filter(string_split(t, chr(10)), lambda l: NOT (starts_with(l, '[') OR starts_with(l, 'Stage'))), chr(10)) AS m FROM q",
+    "sections": f"WITH q AS (SELECT bulletin_id, report_text AS t, position('[CORN SECTION]' || chr(10) IN report_text) AS a, position('[CORN PROGRESS TABLE]' IN report_text) AS b FROM wwcb_core_text) SELECT bulletin_id, CASE WHEN a > 0 THEN {_CLEAN('CASE WHEN b > a THEN substr(t, a + 15, b - a - 15) ELSE substr(t, a + 15) END')} WHEN t IS NOT NULL THEN '' END AS part FROM q",
+    "tfidf": "WITH x AS (SELECT bulletin_id, list_filter(regexp_extract_all(lower(coalesce(national_ag_summary, '')), '[\\p{L}\\p{N}_]{2,}'), lambda w: NOT list_contains(" + str(STOP_WORDS) + ", w)) AS w FROM wwcb_core_text), t AS (SELECT bulletin_id, unnest(w) AS term FROM x UNION ALL SELECT bulletin_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM x), c AS (SELECT bulletin_id, term, count(*) AS tf FROM t GROUP BY 1, 2), v AS (SELECT term, sum(tf) AS n, count(*) AS df FROM c GROUP BY 1 ORDER BY n DESC, term LIMIT 50), u AS (SELECT bulletin_id, term, tf * (ln((1.0 + (SELECT count(*) FROM x)) / (1.0 + df)) + 1) AS u FROM c JOIN v USING (term)) SELECT bulletin_id, term, round(u / sqrt(sum(u * u) OVER (PARTITION BY bulletin_id)), 6) AS weight FROM u",
     "panel_summary": f"WITH {_BAR}, sc AS ({_WS}) SELECT count(*) AS n_rows, count(DISTINCT series) AS n_series, strftime(min(week), '%Y-%m-%d') AS first, strftime(max(week), '%Y-%m-%d') AS last, count(n_reports) AS with_scores FROM weeks LEFT JOIN sc USING (week)",
     "batches": "SELECT strftime(week, '%Y-%m-%d') AS week, (rn - 1) // 5 AS batch, count(*) AS n FROM (SELECT week, row_number() OVER (PARTITION BY week ORDER BY bulletin_id) AS rn FROM report_scores WHERE week IS NOT NULL) GROUP BY 1, 2",
 }

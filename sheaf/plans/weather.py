@@ -34,14 +34,19 @@ def climo(s: SparkSession, d: str) -> DataFrame:
     return C.climatology(forecasts(s, d), ["lead_day"], "decision_date", "v")
 
 
+def climo_one_out(s: SparkSession, d: str) -> DataFrame:
+    """Climatology of all other days, later ones too."""
+    return C.climatology(forecasts(s, d), ["lead_day"], "decision_date", "v", expanding=False).select("decision_date", "lead_day", "climo_n", "climo_mean", "climo_std")
+
+
 def pivoted(s: SparkSession, d: str) -> DataFrame:
     return C.pivot_leads(forecasts(s, d), "decision_date", "lead_day", LEADS, ["v", "w"])
 
 
 def heat(s: SparkSession, d: str) -> DataFrame:
     x = pivoted(s, d).join(observed(s, d).select(F.col("date").alias("decision_date"), F.col("t2m_obs").alias("h0"), F.col("precip_obs").alias("p0")), "decision_date", "left")
-    out = C.heat_dryness(x, [30, 60], "v", "w", "h0", "p0")
-    return out.select("decision_date", *[f"{n}_l{x}" for n in ("heat", "dryness", "heat_x_dryness", "heat_change", "dryness_change", "projected_heat_x_dryness") for x in (30, 60)])
+    out = C.heat_dryness(x, LEADS, "v", "w", "h0", "p0")
+    return out.select("decision_date", *[f"{n}_l{x}" for n in ("heat", "dryness", "heat_x_dryness", "heat_change", "dryness_change", "projected_heat_x_dryness") for x in LEADS])
 
 
 def grid(s: SparkSession, d: str) -> DataFrame:
@@ -54,8 +59,9 @@ def grid(s: SparkSession, d: str) -> DataFrame:
 
 def coverage(s: SparkSession, d: str) -> DataFrame:
     """Every valid day and lead of a span, with the forecast where there is one."""
-    days, leads = C.calendar_grid(F.lit("1996-02-01").cast("date"), F.lit("1996-03-31").cast("date"), LEADS)
-    cells = s.range(1).select(F.explode(days).alias("valid_date")).select("valid_date", F.explode(leads).alias("lead_day")).withColumn("decision_date", F.expr("date_sub(valid_date, lead_day)"))
+    days, leads = C.calendar_grid(F.col("lo"), F.col("hi"), LEADS)
+    span = read(s, d, "lineitem").agg(F.to_date(F.min("l_shipdate")).alias("lo"), F.to_date(F.max("l_shipdate")).alias("hi"))
+    cells = span.select(F.explode(days).alias("valid_date")).select("valid_date", F.explode(leads).alias("lead_day")).withColumn("decision_date", F.expr("date_sub(valid_date, lead_day)"))
     x = cells.join(forecasts(s, d), ["decision_date", "lead_day"], "left")
     return x.groupBy("lead_day").agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.col("v").isNotNull()).alias("there"), F.avg("v").alias("mean_v"))
 
@@ -77,7 +83,6 @@ QUERIES = {
     "heat_dryness": lambda s, d: rounded(heat(s, d)),
     "area_weighted": lambda s, d: rounded(grid(s, d), 4),
     "lead_coverage": lambda s, d: rounded(coverage(s, d)),
-    "metrics_pivot": lambda s, d: rounded(forecasts(s, d).withColumn("yr", F.year("decision_date")).groupBy("lead_day").pivot("yr", [1995, 1996, 1997]).agg(F.avg("v")).select("lead_day", *[F.col(str(y)).alias(f"y{y}") for y in (1995, 1996, 1997)])),
 }
 _FC = f"""fc AS (SELECT o_orderdate::DATE AS decision_date, CASE {' '.join(f"WHEN l_shipdate::DATE - o_orderdate::DATE <= {x} THEN {x}" for x in LEADS)} END AS lead_day, avg(l_quantity) AS v, avg(l_discount) AS w, count(*) AS n
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate::DATE - o_orderdate::DATE <= {LEADS[-1]} GROUP BY 1, 2)"""
@@ -94,8 +99,7 @@ ORACLE = {
     f"SELECT strftime(f.decision_date, '%Y-%m-%d') AS decision_date, f.lead_day, round(v, 6) AS v, round(w, 6) AS w, n, climo_n, CASE WHEN climo_n >= 5 THEN round(m, 6) END AS climo_mean, CASE WHEN climo_n >= 5 THEN round(s, 6) END AS climo_std, CASE WHEN climo_n >= 5 THEN round(v - m, 6) END AS anomaly, CASE WHEN climo_n >= 5 AND s > 0 THEN round((v - m) / s, 6) END AS z FROM fc f JOIN c USING (decision_date, lead_day)",
     "lead_pivot": f"WITH {_PV} SELECT {_DT.format('decision_date')}, " + ", ".join(f"round({v}_l{x}, 6) AS {v}_l{x}" for v in ("v", "w") for x in LEADS) + " FROM pv",
     "lead_means": f"WITH {_PV}, q AS (SELECT decision_date, list_avg(list_filter([{', '.join(f'v_l{x}' for x in LEADS)}], lambda x: x IS NOT NULL)) AS m, len(list_filter([{', '.join(f'v_l{x}' for x in LEADS)}], lambda x: x IS NOT NULL)) / 4.0 AS c FROM pv) SELECT {_DT.format('decision_date')}, round(m, 6) AS mean_v, c AS coverage FROM q WHERE c >= 0.5",
-    "heat_dryness": f"WITH {_PV}, {_OB}, q AS (SELECT pv.*, t2m_obs AS h0, precip_obs AS p0 FROM pv LEFT JOIN ob ON date = decision_date) SELECT {_DT.format('decision_date')}, " + ", ".join(f"round(v_l{x}, 6) AS heat_l{x}, round(-w_l{x}, 6) AS dryness_l{x}, round(v_l{x} * -w_l{x}, 6) AS heat_x_dryness_l{x}, round(v_l{x} - h0, 6) AS heat_change_l{x}, round(-w_l{x} + p0, 6) AS dryness_change_l{x}, round((v_l{x} - h0) * (-w_l{x} + p0), 6) AS projected_heat_x_dryness_l{x}" for x in (30, 60)) + " FROM q",
+    "heat_dryness": f"WITH {_PV}, {_OB}, q AS (SELECT pv.*, t2m_obs AS h0, precip_obs AS p0 FROM pv LEFT JOIN ob ON date = decision_date) SELECT {_DT.format('decision_date')}, " + ", ".join(f"round(v_l{x}, 6) AS heat_l{x}, round(-w_l{x}, 6) AS dryness_l{x}, round(v_l{x} * -w_l{x}, 6) AS heat_x_dryness_l{x}, round(v_l{x} - h0, 6) AS heat_change_l{x}, round(-w_l{x} + p0, 6) AS dryness_change_l{x}, round((v_l{x} - h0) * (-w_l{x} + p0), 6) AS projected_heat_x_dryness_l{x}" for x in LEADS) + " FROM q",
     "area_weighted": f"WITH q AS (SELECT c_mktsegment, CASE WHEN c_acctbal > -900 THEN c_acctbal END AS x, cos((c_nationkey + 25.0) * {_RAD}) * greatest(least(c_nationkey + 25.5, 45.75) - greatest(c_nationkey + 24.5, 27.25), 0) AS w FROM customer WHERE c_nationkey + 25 BETWEEN 27 AND 49 AND ((c_custkey * 7) % 360 >= 256 OR (c_custkey * 7) % 360 <= 30)), k AS (SELECT c_mktsegment, sum(w * x) / sum(w) AS m, sum(w * x * x) / sum(w) AS q2, count(*) AS n_valid FROM q WHERE x IS NOT NULL AND w > 0 GROUP BY 1) SELECT c_mktsegment, round(m, 4) AS mean, round(sqrt(greatest(q2 - m * m, 0)), 4) AS std, n_valid FROM k",
-    "lead_coverage": f"WITH {_FC}, g AS (SELECT unnest(generate_series(DATE '1996-02-01', DATE '1996-03-31', INTERVAL 1 DAY))::DATE AS valid_date), c AS (SELECT valid_date, l.lead_day FROM g, (SELECT unnest({LEADS}) AS lead_day) l) SELECT c.lead_day, count(*) AS expected, count(v) AS there, round(avg(v), 6) AS mean_v FROM c LEFT JOIN fc ON fc.lead_day = c.lead_day AND fc.decision_date = c.valid_date - c.lead_day GROUP BY 1",
-    "metrics_pivot": f"WITH {_FC} SELECT lead_day, " + ", ".join(f"round(avg(v) FILTER (year(decision_date) = {y}), 6) AS y{y}" for y in (1995, 1996, 1997)) + " FROM fc GROUP BY 1",
+    "lead_coverage": f"WITH {_FC}, g AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS valid_date FROM (SELECT min(l_shipdate)::DATE AS lo, max(l_shipdate)::DATE AS hi FROM lineitem)), c AS (SELECT valid_date, l.lead_day FROM g, (SELECT unnest({LEADS}) AS lead_day) l) SELECT c.lead_day, count(*) AS expected, count(v) AS there, round(avg(v), 6) AS mean_v FROM c LEFT JOIN fc ON fc.lead_day = c.lead_day AND fc.decision_date = c.valid_date - c.lead_day GROUP BY 1",
 }

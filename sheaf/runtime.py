@@ -82,6 +82,11 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(to))
+
+
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes a small file whole: under another name first, so that a reader never meets half of it."""
     fs, p = _at(spark, path)

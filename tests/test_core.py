@@ -6,51 +6,70 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sheaf.functions import bulletin as BU
 from sheaf.functions import text as X
 from sheaf.functions.calendar import friday, in_month_day_window, season_day
 from sheaf.operators import backtest as B
 from sheaf.operators import climate as C
 from sheaf.operators import folds as V
+from sheaf.operators import news as N
+from sheaf.operators import panel as P
 from sheaf.operators import series as S
+from sheaf.operators.boosting import boosted
 from sheaf.sources import tables as T
 from sheaf.sources.html import anchors, last_page
 
-CLOSES = [10, 11, 10.5, 12, 12.5, 12, 13, 13.2, 12.8, 14, 13.7, 14.5, 15, 14.8]
+CLOSES = [20.0, 21.0, 19.0, 22.5, 23.0, 22.0, 24.0, 25.0, 23.5, 26.0, 27.5, 26.5, 28.0, 30.0]
 
 
 def weeks(spark, closes=CLOSES):
-    return spark.createDataFrame([("a", date(2021, 1, 1) + timedelta(weeks=i), float(c), 100000) for i, c in enumerate(closes)], "series string, date date, close double, volume long")
+    return spark.createDataFrame([("a", date(2022, 3, 4) + timedelta(weeks=i), float(c), 5000 + i) for i, c in enumerate(closes)], "series string, date date, close double, volume long")
 
 
 def test_weekly_labels(spark):
     rows = S.weekly_features(S.weekly_bars(weeks(spark))).orderBy("week").collect()
-    assert rows[0].target_log_return_next == pytest.approx(math.log(1.1)) and rows[0].target_up_next == 1
-    assert rows[2].price_lag_return_1w == pytest.approx(math.log(1.1)) and rows[-1].target_log_return_next is None
-    assert rows[3].price_rolling_vol_4w is None and rows[4].price_rolling_vol_4w is not None
+    logs = [math.log(b / a) for a, b in zip(CLOSES, CLOSES[1:], strict=False)]
+    assert [r.target_log_return_next for r in rows[:-1]] == pytest.approx(logs) and rows[-1].target_log_return_next is None
+    assert [r.target_up_next for r in rows[:4]] == [1, 0, 1, 1]
+    assert rows[3].price_lag_return_1w == pytest.approx(logs[1]) and rows[5].price_lag_return_4w == pytest.approx(logs[0])
+    assert rows[3].price_rolling_vol_4w is None and rows[4].price_rolling_vol_4w == pytest.approx(np.std(logs[:4], ddof=1))
 
 
 def test_horizon(spark):
-    df = spark.createDataFrame([("a", date(2021, 1, 1) + timedelta(weeks=i), r) for i, r in enumerate([0.0, 0.01, -0.02, 0.03, 0.04])], "series string, week date, price_log_return double")
-    rows = S.horizon_targets(df, 2).orderBy("week").collect()
-    assert rows[0].target_return == pytest.approx(-0.01) and rows[0].target_vol == pytest.approx(math.sqrt(0.0005)) and rows[4].target_return is None
+    returns = [0.005, -0.015, 0.025, 0.035, -0.045, 0.0]
+    df = spark.createDataFrame([("a", date(2022, 3, 4) + timedelta(weeks=i), r) for i, r in enumerate(returns)], "series string, week date, price_log_return double")
+    rows = S.horizon_targets(df, 3).orderBy("week").collect()
+    assert rows[1].target_return == pytest.approx(sum(returns[2:5])) and rows[1].target_vol == pytest.approx(math.sqrt(sum(r * r for r in returns[2:5])))
+    assert rows[3].target_return is None
 
 
 def test_classes_and_positions(spark):
-    x = spark.createDataFrame([(v,) for v in (-0.08, -0.01, 0.0, 0.02, 0.07, None)], "v double")
-    assert [r[0] for r in x.select(S.band_class(F.col("v"), 0.05)).collect()] == [-1, 0, 0, 0, 1, None]
-    y = spark.createDataFrame([(v,) for v in (-0.04, -0.01, 0.01, 0.04, None)], "v double")
-    assert [r[0] for r in y.select(S.scaled_class(F.col("v"), F.lit(0.04), 0.5)).collect()] == [-1, 0, 0, 1, None]
-    p = spark.createDataFrame([(v,) for v in (0.40, 0.54, 0.55, 0.80)], "p double")
-    assert [r[0] for r in p.select(B.position_from_probability(F.col("p"))).collect()] == [0, 0, 1, 1]
-    assert p.select(B.position_from_classes(F.lit(0.9), F.lit(0.9), 0.5, 0.5)).first()[0] == -1
+    x = spark.createDataFrame([(v,) for v in (-0.31, -0.3, -0.1, 0.29, 0.3, None)], "v double")
+    assert [r[0] for r in x.select(S.band_class(F.col("v"), 0.3)).collect()] == [-1, -1, 0, 0, 1, None]
+    assert [r[0] for r in x.select(S.scaled_class(F.col("v"), F.lit(0.6), 0.5)).collect()] == [-1, 0, 0, 0, 0, None]
+    p = spark.createDataFrame([(v,) for v in (0.1, 0.3, 0.61, 0.6)], "p double")
+    assert [r[0] for r in p.select(B.position_from_probability(F.col("p"), 0.6, 0.3)).collect()] == [-1, -1, 1, 1]
+    assert p.select(B.position_from_classes(F.lit(0.8), F.lit(0.7), 0.6, 0.6)).first()[0] == -1
 
 
 def test_backtest(spark):
-    df = spark.createDataFrame([("m", i, p, r) for i, (p, r) in enumerate([(1.0, 0.01), (0.0, -0.02), (1.0, 0.03)])], "model string, week int, position double, r double")
-    rows = B.strategy(df, "position", "r", ["model"], "week", 10).orderBy("week").collect()
-    assert [r.turnover for r in rows] == [1, 1, 1] and rows[0].strategy_log_return == pytest.approx(0.009)
-    s = B.weekly_summary(B.strategy(df, "position", "r", ["model"], "week", 10), ["model"], "r", "position").first()
-    assert s.total_return == pytest.approx(math.exp(0.04 - 0.003) - 1) and s.n_traded == 2
+    df = spark.createDataFrame([("m", i, p, r) for i, (p, r) in enumerate([(0.0, 0.5), (-1.0, -0.02), (1.0, 0.03), (1.0, None)])], "model string, week int, position double, r double")
+    rows = B.strategy(df, "position", "r", ["model"], "week", 20).orderBy("week").collect()
+    assert [r.turnover for r in rows] == [0, 1, 2, 0] and [r.strategy_log_return for r in rows] == pytest.approx([0, 0.018, 0.026, 0])
+    s = B.weekly_summary(B.strategy(df, "position", "r", ["model"], "week", 20), ["model"], "r", "position").first()
+    assert s.total_return == pytest.approx(math.exp(0.044) - 1) and s.n_traded == 3 and s.max_drawdown == 0
+    lost = spark.createDataFrame([("m", i, r, 1.0, 0.0) for i, r in enumerate([0.1, -1.0, 0.5])], "m string, day int, r double, p double, t double")
+    d = B.daily_summary(lost, ["m"], "r", "day", "p", "t").first()
+    assert d.total_return == -1 and d.max_drawdown == -1 and d.cash_share == 0
+
+
+def test_class_metrics(spark):
+    df = spark.createDataFrame([("m", y, p) for y, p in [(-1, -1), (-1, 0), (0, 0), (0, 0), (None, 1)]], "m string, y int, p int")
+    r = B.class_metrics(df, ["m"], "y", "p", [-1, 0, 1]).first()
+    assert r.accuracy == 0.75 and r.balanced_accuracy_present == 0.75 and r.recall_1 is None and r.n_1 == 0 and r.event_rate == 0.5 and not r.has_both_ends
+    assert r.macro_f1 == pytest.approx((2 / 3 + 4 / 5 + 0) / 3)
+    assert {(x.y, x.n) for x in P.label_counts(df.filter("y is not null"), ["m"], "y", [-1, 0, 1]).collect()} == {(-1, 2), (0, 2), (1, 0)}
+    assert B.class_metrics(df.limit(0), ["m"], "y", "p", [-1, 0, 1]).count() == 0
 
 
 def test_calendar(spark):
@@ -84,25 +103,76 @@ def test_folds_and_models(spark):
     met = V.assigned(df, folds, "week")
     ends = met.groupBy("fold").agg(F.max(F.when(F.col("role") == "train", F.col("week"))).alias("a"), F.min(F.when(F.col("role") == "test", F.col("week"))).alias("b"), F.count_if(F.col("role") == "train").alias("n")).orderBy("fold").collect()
     assert len(ends) == 3 and all(r.a < r.b for r in ends) and ends[0].n < ends[1].n
-    out = V.walk_forward(met, ["series", "fold"], ["x", "z"], "y", "week").toPandas()
-    assert np.corrcoef(out.y_true, out.y_pred)[0, 1] > 0.9
-    up = V.walk_forward(met.withColumn("up", (F.col("y") > 0).cast("int")), ["series", "fold"], ["x"], "up", "week", "classes", classes=(0, 1)).toPandas()
-    assert ((up.y_pred > 0.5) == (up.y_true > 0)).mean() > 0.85
+    df = df.withColumn("up", (F.col("y") > 0).cast("int")).withColumn("note", F.when(F.col("up") == 1, "good rain fell").otherwise("hail"))
+    models = [V.Model("ridge", ("x", "z"), "y"), V.Model("grid", ("x", "z"), "y", alpha=None), V.Model("up", ("x",), "up", "logit", classes=(0, 1)), V.Model("tree", ("x", "z"), "y", "boosted"), V.Model("tree_up", ("x",), "up", "boosted_up"), V.Model("text", (), "up", "logit", classes=(0, 1), text="note")]
+    out = V.walk_forward(df, ["series"], models, "week", folds).toPandas()
+    of = {m: out[out.model == m] for m in out.model.unique()}
+    assert set(of) == {m.name for m in models} and {len(x) for x in of.values()} == {len(out) // len(models)}
+    assert min(np.corrcoef(of[m].y_true, of[m].y_pred)[0, 1] for m in ("ridge", "grid", "tree")) > 0.8
+    assert min(((of[m].y_pred > 0.5) == (of[m].y_true > 0)).mean() for m in ("up", "tree_up", "text")) > 0.8
+    assert of["grid"].alpha.notna().all() and of["tree"].alpha.isna().all()
+    with pytest.raises(Exception, match="repeated key"):
+        V.walk_forward(df.unionByName(df), ["series"], models[:1], "week", folds).collect()
+    years = V.walk_forward(df, ["series"], models[:1], "week", V.year_folds(df, "week")).toPandas()
+    assert set(years.fold) == {2021} and years.n_train.iloc[0] == 52
     x, y = rng.normal(size=(50, 3)), rng.normal(size=50)
     a = np.hstack([np.ones((50, 1)), x])
     assert np.allclose(V.ridge(x, y, 2.0)(x), a @ np.linalg.solve(a.T @ a + 2 * np.diag([0, 1, 1, 1]), a.T @ y))
     assert V.fold_table(df.limit(0), "week", "2020-12-31").count() == 0
+    far = spark.createDataFrame([(date(1900, 1, 5),), (date(2400, 1, 5),)], "week date")
+    assert V.fold_table(far, "week", "1899-01-01", 1, 1).count() == (date(2400, 1, 5) - date(1900, 1, 5)).days // 7 + 1
+
+
+def test_boosting_beats_the_mean():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 4))
+    y = np.where(x[:, 0] > 0.3, 2.0, -1.0) * (x[:, 1] > 0) + 0.1 * rng.normal(size=600)
+    got = boosted(x[:400], y[:400])(x[400:])
+    assert np.mean((got - y[400:]) ** 2) < 0.15 * np.var(y[400:])
+    p = boosted(x[:400], (y[:400] > 0.5).astype(float), classes=True)(x[400:])
+    assert ((p > 0.5) == (y[400:] > 0.5)).mean() > 0.9 and p.min() >= 0 and p.max() <= 1
+    assert np.allclose(boosted(np.zeros((50, 0)), y[:50])(np.zeros((3, 0))), y[:50].mean())
+    assert np.allclose(boosted(np.ones((50, 2)), y[:50])(np.ones((3, 2))), y[:50].mean())
+    # with 30 rows a leaf and one cut the two sides' means are approached
+    step = np.repeat([0.0, 1.0], 30)[:, None]
+    assert np.allclose(boosted(step, step[:, 0] * 4)(np.array([[0.0], [1.0]])), [0, 4], atol=0.05)
+
+
+def test_feature_sets():
+    columns = ["week", "price_log_close", "price_log_return", "text_kw_rain", "report_count", "report_text", "ai_x", "weather_y"]
+    assert P.feature_set(columns, "price_only") == (["price_log_return"], None)
+    assert P.feature_set(columns, "price_calendar_weather_text_ai") == (["price_log_return", "weather_y", "report_count", "text_kw_rain", "ai_x"], "report_text")
+    with pytest.raises(ValueError, match="unknown feature set"):
+        P.feature_set(columns, "x")
+    own = ["price_vol_5d", "month", *[f"weather_{n}_l7" for n in ("heat_forecast_z", "dryness_forecast_z", "heat_x_dryness", "heat_projected_change", "dryness_projected_change", "projected_heat_x_dryness")]]
+    sets = P.lead_sets(own, 7)
+    assert [len(x) for x in sets.values()] == [2, 5, 8] and list(sets)[0] == "lead07_price_calendar"
+    with pytest.raises(KeyError):
+        P.lead_sets(own[:-1], 7)
+    assert P.threshold_key(0.5, "a") == "k_0.5_a" and P.threshold_key(1.0, "a") == "k_1_a" and len(P.configurations(a=[1, 2], b=[3, 4, 5])) == 6
 
 
 def test_text(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(X.keyword_count(F.lit("Yield yield yields, rain"), "yield")) == 2
     assert one(X.slug_title(F.lit("https://h.example/2024/corn-prices_rise-again.html?x=1"))) == "corn prices rise again" and one(X.slug_title(F.lit("https://h.example/a"))) is None
-    assert one(X.clean_headline(F.lit("Corn  up  2024-05-06 10:00"))) == "Corn up"
+    ends = {"Corn  up 20240506 00012": "Corn up", "Corn up 2024 05 06": "Corn up", "Corn up idUSL5N1ABC": "Corn up", "Corn up 123456": "Corn up", "Corn up 12345": "Corn up 12345", "Record corn bids": "Record corn bids", "Rain brings refuge": "Rain brings refuge", "A%20b &amp; %C3%A9": "A b & é"}
+    assert {k: one(X.clean_headline(F.lit(k))) for k in ends} == ends and one(X.clean_headline(F.lit(None).cast("string"))) is None
+    assert one(X.page_title(F.lit("<A/><PAGE_TITLE> Up &lt; down\n</PAGE_TITLE>"))) == "Up < down" and one(X.page_title(F.lit("none"))) is None
+    assert one(X.any_word(F.lit("a c.rn b"), ["c.rn"])) and not one(X.any_word(F.lit("a corn b"), ["c.rn"])) and not one(X.any_word(F.lit("a"), []))
+    assert one(X.report_text(F.lit(None).cast("string"), F.lit("x  y"), F.lit(""))) == "[WEATHER HIGHLIGHTS]\n\n[CORN SECTION]\nx y\n\n[CORN PROGRESS TABLE]"
+    scores = {k: one(c) for k, c in X.rule_scores(F.lit("Planting ran behind after wet weeks, harvest was fine, good to excellent above last year")).items()}
+    assert [k for k, v in scores.items() if v == 1] == ["ai_excess_rain_risk", "ai_planting_delay_risk", "ai_harvest_delay_risk"] and scores["ai_crop_condition_trend"] == -1
+    assert one(X.prompt("{a}: {b}.", {"a": F.lit(1), "b": F.lit(None).cast("string")})) == "1: ."
+    assert one(X.reply_text(F.lit('{"output": [{"content": [{"type": "output_text", "text": "a"}, {"type": "b", "text": "c"}]}, {}]}'))) == "a" and one(X.reply_text(F.lit("{}"))) is None
+    assert one(X.check_scores(F.lit('{"answer": {"ai_a": 2, "b": 1}}'), {"ai_a": (0, 3)}, "ai_"))["ai_a"] == 2
+    for bad in ('{"ai_a": 4}', "{}", '{"ai_a": 1, "ai_b": 1}'):
+        with pytest.raises(Exception, match="ai_a"):
+            spark.range(1).select(X.check_scores(F.lit(bad), {"ai_a": (0, 3)}, "ai_")["ai_a"]).collect()
     assert one(X.json_object(F.lit('x ```json\n{"a": 1}\n``` y'))) == '{"a": 1}'
-    assert one(X.shortened(F.lit("a" * 100), 10)) == "a" * 10 + "\n[TRUNCATED]"
+    assert one(X.shortened(F.lit("a" * 100), 10)) == "a" * 10 + "\n\n[TRUNCATED]" and one(X.shortened(F.lit("abc"), 0)) == "abc"
     assert one(X.normal_space(F.lit(" a \tb \r\n\n\n\n c "))) == "a b\n\nc"
-    assert one(F.try_element_at(F.array(last_page(F.lit('<a href="?page=2">2</a><a href="/l?x=1&page=289">'))), F.lit(1))) == 289
+    assert one(last_page(F.lit('<a href="?page=2">2</a><a href="/l?x=1&page=289">'))) == 289 and one(last_page(F.lit("none"))) == 0
     page = spark.createDataFrame([(1, '<a href="/x.pdf">A &amp;  B</a><a href="/x.pdf">again</a><a href="y.txt">c</a><a>none</a>'), (2, None)], "page long, html string")
     assert [(r.url, r.label) for r in anchors(page, "page", "html", "https://h.example/l/", ".pdf").collect()] == [("https://h.example/x.pdf", "A & B")]
 
@@ -124,6 +194,60 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(r.date, r.close) for r in T.read_price_csv(spark, str(tmp_path / "p.csv")).collect()] == [(date(2024, 1, 2), 1.5)]
 
 
+def test_more_sources(spark, tmp_path):
+    p = str(tmp_path / "t.parquet")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    assert T.replace_with_backup(df, p) is None
+    with pytest.raises(FileExistsError):
+        T.replace_with_backup(df, p)
+    kept = T.replace_with_backup(spark.read.parquet(p).filter("k = 1"), p, overwrite=True)
+    assert spark.read.parquet(p).count() == 1 and spark.read.parquet(kept).count() == 2
+    assert T.append_missing(df, p, ["k"], lambda x: x) == 1 and T.append_missing(df, p, ["k"], lambda x: x) == 0 and spark.read.parquet(p).count() == 2
+    T.save_metrics(spark, str(tmp_path / "m.json"), {"a": float("nan"), "b": 1})
+    assert T.load_metrics(spark, str(tmp_path / "m.json"))["b"] == 1
+    meta = T.run_metadata(spark, {"in": p}, {"alpha": 1}, {"out": df})
+    assert meta["results"]["out"] == {"rows": 2, "columns": ["k", "v"]}
+    for n in ("b.pdf", "a.pdf", "c.txt"):
+        (tmp_path / "f").mkdir(exist_ok=True)
+        (tmp_path / "f" / n).write_bytes(b"x")
+    assert [r.path[-5:] for r in T.find_files(spark, str(tmp_path / "f")).collect()] == ["a.pdf", "b.pdf"] and T.find_files(spark, str(tmp_path / "f" / "a.pdf")).count() == 1
+    raw = spark.createDataFrame([("2024-01-03", 1.5, 7), ("2024-01-02", 2.5, 8), ("2024-01-04", None, 9)], "Date string, Close double, Volume long")
+    bars = T.normal_bars(raw).collect()
+    assert [(r.close, r.adj_close, r.volume, r.open) for r in bars] == [(2.5, 2.5, 8, None), (1.5, 1.5, 7, None)]
+    with pytest.raises(ValueError):
+        T.normal_bars(raw.drop("Date"))
+    raw.write.parquet(str(tmp_path / "bars.parquet"))
+    assert T.load_prices(spark, str(tmp_path / "bars.parquet"), "2024-01-03", "2024-01-09").count() == 1
+    assert T.load_prices(spark, "", "2024-01-01", "2024-01-31", demo=True).count() == 23
+    with pytest.raises(FileNotFoundError):
+        T.load_prices(spark, str(tmp_path / "none.parquet"), "2024-01-01", "2024-01-31")
+
+
+def test_bulletin(spark):
+    text = "MAY 5, 2026\nMay 5, 2026   Weekly Weather and Crop Bulletin   1\nMay 1 – 2, 2026\nA \nRain fell.      Inside\nMore of it.\n(Continued on page 3)\f\f3 Weekly Weather and Crop Bulletin May 5, 2026\n(continued from Front Cover) dry later\nAs the week began\fWeekly National Agricultural Summary provided by x\nHIGHLIGHTS\nWarm.\nCorn: up   right\nEmerged by May.\n9 behind the 5-year average.\nnot this\n\fCorn Percent Planted\n a   1\nSoybeans percent planted"
+    x = spark.createDataFrame([(text,), (None,), ("",), ("A\n" * 20_000,)], "t string")
+    t = F.col("t")
+    rows = x.select(BU.report_date(t).alias("d"), BU.week_ending(t).alias("w"), BU.weather_highlights(t).alias("h"), BU.national_summary(t).alias("n"), BU.crop_column(t).alias("c"), BU.crop_paragraph(BU.national_summary(t)).alias("p"), BU.crop_table(t).alias("b")).collect()
+    r = rows[0]
+    assert (r.d, r.w) == (date(2026, 5, 5), date(2026, 5, 2)) and r.h == "Rain fell.\nMore of it.\n\ndry later"
+    assert r.c == "Corn: up\nEmerged by May.\n9 behind the 5-year average." and r.p.startswith("Corn: up right") and r.b == "Corn Percent Planted\na 1" and r.n.startswith("Warm.")
+    assert all((y.d, y.w, y.h, y.n, y.c, y.p, y.b) == (None, None, "", "", "", "", "") for y in rows[1:])
+    days = {"Sept. 5, 2023": date(2023, 9, 5), "on Jan 3 2024 txt": date(2024, 1, 3), "February 30, 2024": None, "Foo 3, 2024": None}
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert {k: one(BU.label_date(F.lit(k))) for k in days} == days and one(BU.label_date(F.lit("none"), F.lit("x March 4, 2022"))) == date(2022, 3, 4)
+
+
+def test_news_rows(spark):
+    rows = [('{"articles": [{"title": " T ", "url": "u", "seendate": "20240105T101500Z"}, {"title": "", "url": "x"}, {"title": "b", "url": "c", "date": "bad"}]}',), ('{"results": [], "data": [{"title": "T", "url": "u", "datetime": "2024-02-01"}]}',), ("broken",), (None,)]
+    out = N.article_rows(spark.createDataFrame(rows, "reply string").withColumn("q", F.lit("q")), "reply", "q").collect()
+    assert len(out) == 1 and out[0].title == "T" and out[0].week in (date(2024, 1, 5), date(2024, 2, 2))
+    pages = spark.createDataFrame([("Corn futures up", "u1", "", "Iowa, United States"), ("Cornell farm news", "u2", "crop", "Iowa"), ("Drought grows", "u3", "FARM", "Ohio"), ("Drought grows", "u3", "FARM", "Ohio"), ("Drought grows", "u4", "none", "Ohio"), ("Corn up", "u5", "", "Paris"), (" ", "u6", "", "Iowa"), (None, "u7", "", "Iowa")], "title string, url string, themes string, places string").withColumn("at", F.lit(1))
+    ask = lambda **k: {(r.url, r.match_type) for r in N.headline_query(pages, F.col("title"), "url", "themes", "places", "at", ["at", "url"], **k).collect()}
+    assert ask() == {("u1", "direct_corn"), ("u3", "weather_ag")} and ask(expanded=False) == {("u1", "direct_corn")} and len(ask(most=1)) == 1
+    old = spark.createDataFrame([("h", "u", "n")], "headline string, source_url string, source_name string")
+    assert set(N.without_repeats(N.with_aliases(old)).columns) == {"title", "url", "domain", "article_id"}
+
+
 def test_unique_key(spark):
     df = spark.createDataFrame([(1, 1), (1, 2)], "k int, v int")
     with pytest.raises(Exception, match="repeated key"):
