@@ -77,7 +77,8 @@ def _named(df: DataFrame, **columns: Column) -> DataFrame:
 
 def instants(stamps: DataFrame, stamp: str, feed_zone: str, day_first: str, out: str = "utc_us") -> DataFrame:
     """stamps with the column out, microseconds since 1970 UTC or null; stamp, feed_zone and day_first are columns of it."""
-    names = ", ".join(f"'{x}'" for x in sorted(zoneinfo.available_timezones()))
+    # names that both the driver and the JVM, which looks the offsets up, know
+    names = ", ".join(f"'{x}'" for x in sorted(zoneinfo.available_timezones() & set(stamps.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())))
     known = lambda column: F.expr(f"`{column}` IN ({names})")
     c = {p: F.col(f"__{p}") for p in PARTS}
     num = lambda p, none: F.coalesce(c[p].try_cast("int"), F.lit(none))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.operators.as_known import as_known, utc_day
+from sheaf.operators.as_known import KnownState, as_known, utc_day
 from sheaf.operators.rolling import trailing_totals
 from sheaf.operators.stamps import stamp_instants
-from sheaf.runtime import read
+from sheaf.runtime import read, stored
 
 SCORES = [f"ai_{x}" for x in ("moisture_stress", "heat_stress", "excess_rain_risk", "planting_delay_risk", "harvest_delay_risk", "yield_risk", "crop_condition_trend")]
 
@@ -18,7 +18,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     news, bulletins = read(spark, sf_dir, "news_headlines"), read(spark, sf_dir, "wwcb_core_text")
     public = bulletins.select("district", "week", "report_date", "revision", "bulletin_id", F.datediff(F.col("report_date").try_cast("date"), F.lit("1970-01-01").cast("date")).alias("public_day"))
     rank = [F.col("week"), F.col("report_date"), F.col("revision"), -F.col("bulletin_id")]
-    return as_known(news, "row_id", "district", utc_day(F.col("seendate")), public, "public_day", rank, F.col("bulletin_id"), "bulletin_id")
+    state = KnownState(spark)
+    try:
+        last = news.agg(F.max(utc_day(F.col("seendate")))).first()[0]
+        state.extend(public, "district", "public_day", rank, F.col("bulletin_id"), last)
+        return stored(as_known(news, "row_id", "district", utc_day(F.col("seendate")), state, "bulletin_id"), "p1")
+    finally:
+        state.drop()
 
 
 def p1_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,18 +40,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamp_instants(read(spark, sf_dir, "raw_stamps"), read(spark, sf_dir, "feeds"), "raw_id", ["seendate", "gkg_date", "report_date", "week_ending"])
 
 
-def p3_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals, counts, averages and extremes over the trailing 7 and 30 calendar days."""
-    return trailing_totals(read(spark, sf_dir, "daily_prices"), "symbol", "date", ["loaded_at", "bar_id"], ["volume", "close", "price_log_return"], [7, 30])
+def p3_totals(spark: SparkSession, sf_dir: str, columns: list[str], aggregates: tuple[str, ...]) -> DataFrame:
+    """Aggregates over the trailing 7 and 30 calendar days."""
+    return trailing_totals(read(spark, sf_dir, "daily_prices"), "symbol", "date", ["loaded_at", "bar_id"], columns, [7, 30], aggregates)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_totals(spark, sf_dir).select("symbol", F.date_format("date", "yyyy-MM-dd").alias("on_day"), F.col("volume_sum_7").alias("volume_7d"), F.col("volume_sum_30").alias("volume_30d"))
+    return p3_totals(spark, sf_dir, ["volume"], ("sum",)).select("symbol", F.date_format("date", "yyyy-MM-dd").alias("on_day"), F.col("volume_sum_7").alias("volume_7d"), F.col("volume_sum_30").alias("volume_30d"))
 
 
 def p3_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = [F.round(F.col(f"{c}_{k}_{w}"), 6).alias(f"{n}_{k}_{w}d") for c, n in (("close", "close"), ("price_log_return", "ret")) for k in ("sum", "avg") for w in (7, 30)]
-    return p3_totals(spark, sf_dir).select("symbol", F.date_format("date", "yyyy-MM-dd").alias("on_day"), *cols, F.col("close_max_30").alias("close_max_30d"), F.col("close_min_7").alias("close_min_7d"))
+    return p3_totals(spark, sf_dir, ["close", "price_log_return"], ("sum", "avg", "max", "min")).select("symbol", F.date_format("date", "yyyy-MM-dd").alias("on_day"), *cols, F.col("close_max_30").alias("close_max_30d"), F.col("close_min_7").alias("close_min_7d"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p3_found": p3_found, "p3_averages": p3_averages}

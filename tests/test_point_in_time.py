@@ -5,17 +5,25 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sheaf.operators.as_known import as_known, utc_day
-from sheaf.operators.rolling import trailing_totals, two_stack
+from sheaf.operators.as_known import KnownState, as_known, utc_day
+from sheaf.operators.rolling import over_windows, trailing_totals
 
 VERSION = "who string, day int, a int, id long, event_id string"
 
 
-def known(spark, events, versions):
-    e = spark.createDataFrame(events, "n long, who string, at timestamp, entity string")
+def known(spark, events, versions, loads=1, path=None):
+    e = spark.createDataFrame(events, "n long, who string, at timestamp, entity string").withColumn("period", F.lit("clash"))
     v = spark.createDataFrame(versions, VERSION)
-    out = as_known(e, "n", "who", utc_day(F.col("at")), v, "day", [F.col("a"), -F.col("id")], F.col("id"), "got", period_days=7)
-    return sorted((r.n, r.got) for r in out.collect())
+    last = e.agg(F.max(utc_day(F.col("at")))).first()[0]
+    state = KnownState(spark, path, 7)
+    for k in range(loads):
+        # the state reaches further from load to load, and is taken up anew
+        reach = None if last is None else last * (k + 1) // loads
+        state.extend(v.filter(F.pmod("id", F.lit(loads)) == k), "who", "day", [F.col("a"), -F.col("id")], F.col("id"), reach)
+        state = KnownState.open(spark, state.path)
+    out = sorted((r.n, r.got) for r in as_known(e, "n", "who", utc_day(F.col("at")), state, "got").collect())
+    state.drop()
+    return out
 
 
 def test_as_known_against_brute_force(spark):
@@ -29,6 +37,15 @@ def test_as_known_against_brute_force(spark):
             if seen:
                 want.append((n, max(seen, key=lambda v: (-1 if v[2] is None else v[2], -v[3]))[3]))
     assert known(spark, events, versions) == sorted(want)
+    assert known(spark, events, versions, 3) == sorted(want)
+
+
+def test_state_before_any_event(spark):
+    v = spark.createDataFrame([("x", 3, 1, 1, None), ("x", 30, 2, 2, None)], VERSION)
+    ask = lambda s: s.extend(v.limit(0), "who", "day", [F.col("a")], F.col("id"), 40)
+    state = ask(KnownState(spark, None, 7).extend(v, "who", "day", [F.col("a")], F.col("id"), None))
+    e = spark.createDataFrame([(1, "x", 2), (2, "x", 8), (3, "x", 40)], "n long, who string, day int")
+    assert sorted((r.n, r.got) for r in as_known(e, "n", "who", F.col("day"), state, "got").collect()) == [(2, 1), (3, 2)]
 
 
 def test_as_known_edges(spark):
@@ -42,9 +59,23 @@ def test_as_known_edges(spark):
 @pytest.mark.parametrize("op,identity", [(np.add, 0.0), (np.maximum, -np.inf), (np.minimum, np.inf)])
 @pytest.mark.parametrize("n,width", [(0, 3), (1, 1), (5, 7), (50, 7), (64, 30), (31, 1)])
 def test_two_stack(op, identity, n, width):
-    v = np.random.default_rng(n).normal(size=n)
-    want = [op.reduce(v[max(0, i - width + 1) : i + 1]) for i in range(n)]
-    assert np.allclose(two_stack(v, width, op, identity), want)
+    v = np.random.default_rng(n).normal(size=(3, n))
+    want = np.array([[op.reduce(x[max(0, i - width + 1) : i + 1]) for i in range(n)] for x in v]).reshape(3, n)
+    assert np.allclose(over_windows(v, width, op, identity), want)
+
+
+def test_any_associative_operation():
+    """The last value pushed that isn't 0: neither commutative nor invertible."""
+    last = lambda a, b: np.where(b != 0, b, a)
+    v = np.array([[1, 0, 0, 2, 0, 0, 0, 3.0]])
+    assert over_windows(v, 3, last, 0.0).tolist() == [[1, 1, 1, 2, 2, 2, 0, 3]]
+
+
+def test_long_windows(spark):
+    rows = [("e", date(2015, 1, 1) + timedelta(days=i), i) for i in range(0, 2000, 3)]
+    got = trailing_totals(spark.createDataFrame(rows, "e string, d date, v long"), "e", "d", ["v"], ["v"], [900], ("sum", "avg")).toPandas().sort_values("d")
+    want = [sum(v for v in range(0, 2000, 3) if i - 900 < v <= i) for i in range(len(got))]
+    assert got.v_sum_900.tolist() == want and "v_n_900" not in got
 
 
 def test_trailing_totals(spark):

@@ -75,6 +75,13 @@ def test_edges(spark):
         assert got.get(i) == us, (s and s[:40], z)
 
 
+def test_zone_names_that_only_one_side_knows(spark):
+    raw = spark.createDataFrame([(1, "f", "2024-01-02 03:04:05[Factory]"), (2, "f", "2024-01-02 03:04:05[localtime]"), (3, "f", "2024-01-02 03:04:05[No/Where]"), (4, "f", "2024-01-02 03:04:05")], "k long, feed_code string, at string")
+    feeds = spark.createDataFrame([("f", "Factory", None)], "feed_code string, zone_name string, day_first boolean")
+    got = {r.k: r.utc_us for r in stamp_instants(raw, feeds, "k", ["at"]).collect()}
+    assert got[4] == 1_704_164_645_000_000
+
+
 def test_empty_and_repeated(spark):
     feeds = spark.createDataFrame([], "feed_code string, zone_name string, day_first boolean")
     raw = spark.createDataFrame([], "raw_id long, feed_code string, stamp string")
