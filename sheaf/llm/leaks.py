@@ -6,9 +6,10 @@ lower case, one space between; a shift table over blocks of characters tells how
 next possible end of a pattern is at least, the block that ends a pattern's searched part
 selects a bucket, and direct comparison with the patterns of that bucket confirms.
 
-The items are a stated query set: they are sent to the executors in blocks of at most
-BLOCK_ITEMS items, each block one pass over the corpus, so what is broadcast has a bound.
-The corpus is read once a block, never shuffled. Defined results: null texts hold nothing;
+The items are a stated query set. Up to BLOCK_ITEMS of them are one block, whose patterns
+are sent to the executors for one pass over the corpus. More items take a pass for each
+block; a block's findings are written before the next one is fetched, so neither the driver
+nor an executor ever holds more than one. The corpus is never shuffled. Defined results: null texts hold nothing;
 an item of fewer than MIN_WORDS words can't leak; repeated document rows give one row a
 document and item; whole texts are scanned.
 """
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.runtime import stored
+
 MIN_WORDS = 13
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 12
@@ -96,6 +99,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     out = None
     for k in range(blocks):
-        block = [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()]
-        out = scan(block) if out is None else out.unionByName(scan(block))
-    return out.distinct()
+        block = [(r.i, r.t) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()]  # BLOCK_ITEMS on average
+        found = scan(block).distinct()
+        found = stored(found, "leaks") if blocks > 1 else found
+        out = found if out is None else out.unionByName(found)
+    return out

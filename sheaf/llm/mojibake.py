@@ -10,9 +10,9 @@ field aren't known; they are estimated together, all records pooled:
 
   E: posterior of each chain for each distinct (source and field, atom),
   M: chain shares of each source and field (drawn towards the shares of all), and the
-     bigrams of clean text, both from counts weighted by the posteriors.
+     bigrams of clean text, both from counts weighted by the posteriors,
 
-It starts from the atoms that only clean text explains. A record's posterior multiplies its
+until the pooled shares change by less than STILL (or ROUNDS have passed). It starts from the atoms that only clean text explains. A record's posterior multiplies its
 atoms' likelihoods with its source's shares; where a misreading is likelier than none the
 record is found, and undone by its likeliest chain. Characters that were lost (replacement
 characters, or question marks in the place of letters) are found but can't be restored.
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from sheaf.runtime import cut, stored
 
-ROUNDS = 4
+ROUNDS = 12  # at most; it ends when the shares of all sources stand still
+STILL = 1e-4
 POOL = 50.0  # weight, in records, of the shares of all sources in those of one
 BACK = 2.0  # weight, in characters, of the single-character model in that of pairs
 RARE = 1e-3
@@ -168,12 +169,12 @@ def fit(texts: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     n_source = counted.groupBy("source").agg(F.sum("n").alias("ns"))
     start = (F.when(F.col("chain") == 0, 0.95).otherwise(0.05 / (len(CHAINS) - 1)))
     chains = texts.sparkSession.range(len(CHAINS)).select(F.col("id").cast("int").alias("chain"))
-    pooled = chains.select("chain", start.alias("p0"))
+    pooled = cut(chains.select("chain", start.alias("p0")))
     share = n_source.join(F.broadcast(pooled)).select("source", "chain", F.col("p0").alias("share"))  # one row a chain
-    ll = None
+    ll, still = None, False
     for k in range(rounds):
         ll = _likelihood(grams, counts)
-        if k == rounds - 1:
+        if still or k == rounds - 1:
             break
         scored = counted.join(ll, _KEY).join(share, ["source", "chain"]).withColumn("w", F.col("ll") + F.ln("share"))
         best = F.max("w").over(_window())
@@ -182,9 +183,11 @@ def fit(texts: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
         by_chain = scored.groupBy("source", "chain").agg(F.sum("m").alias("m"))
         all_n = by_chain.groupBy("chain").agg(F.sum("m").alias("m0"))
         total = all_n.agg(F.sum("m0").alias("t0"))
-        pooled = chains.join(all_n, "chain", "left").join(F.broadcast(total)).select("chain", ((F.coalesce("m0", F.lit(0.0)) + 1.0) / (F.coalesce("t0", F.lit(0.0)) + len(CHAINS))).alias("p0"))
+        before, pooled = pooled, chains.join(all_n, "chain", "left").join(F.broadcast(total)).select("chain", ((F.coalesce("m0", F.lit(0.0)) + 1.0) / (F.coalesce("t0", F.lit(0.0)) + len(CHAINS))).alias("p0"))
         share = n_source.join(F.broadcast(pooled)).join(by_chain, ["source", "chain"], "left").select("source", "chain", ((F.coalesce("m", F.lit(0.0)) + POOL * F.col("p0")) / (F.col("ns") + POOL)).alias("share"))
-        share = cut(share)
+        pooled, share = cut(pooled), cut(share)
+        # one row
+        still = pooled.join(before.withColumnRenamed("p0", "was"), "chain").agg(F.max(F.abs(F.col("p0") - F.col("was")))).first()[0] < STILL
         counts = cut(grams.join(scored.groupBy(*_KEY, "chain").agg(F.sum("m").alias("m")), [*_KEY, "chain"]).groupBy("x", "y").agg(F.sum("m").alias("n")))
     return ll, share
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheaf.runtime import stored
+from sheaf.runtime import Scratch, stored
 
 CAPACITY = 2048
 SMALL_PART = 8  # a piece of up to CAPACITY / SMALL_PART tokens is small
@@ -99,12 +99,16 @@ def configurations(sizes: list[int], demand: list[int], capacity: int = CAPACITY
     if not k:
         return []
     basis = np.diag(capacity // w).astype(float)
-    for _ in range(60 * k):
+    cost, still = np.inf, 0
+    # a round may leave the cost as it is; when k rounds on end do, the basis goes round in a circle
+    while still <= k:
         inverse = np.linalg.inv(basis)
         value, column = _knapsack(w, np.maximum(inverse.T @ np.ones(k), 0), capacity)
         if value <= 1 + 1e-7:
             break
         x, step = inverse @ d, inverse @ column
+        still = still + 1 if x.sum() > cost - 1e-9 else 0
+        cost = min(cost, float(x.sum()))
         ratio = np.where(step > 1e-9, np.maximum(x, 0) / np.where(step > 1e-9, step, 1), np.inf)
         basis[:, int(ratio.argmin())] = column
     x = np.floor(np.maximum(np.linalg.inv(basis) @ d, 0) + 1e-9).astype(int)
@@ -178,10 +182,28 @@ def ranked(df: DataFrame, key: str, by: Column, order: list[str], out: str, buck
     return local.join(before, (F.col(key) == F.col("__k")) & (F.col("__b") == F.col("__c"))).withColumn(out, F.col("__off") + F.col("__r") - 1).drop("__b", "__k", "__c", "__off", "__r")
 
 
+def _ranges(rows: list[tuple]) -> list[tuple]:
+    """(key, [(from, base, each, ...)]) of ranges (key, from, to, base, each, ...) that lie end to end, in order."""
+    by: dict[int, list[tuple]] = {}
+    for key, lo, _, *rest in sorted(rows, key=lambda x: x[:2]):
+        by.setdefault(int(key), []).append((int(lo), *map(int, rest)))
+    return list(by.items())
+
+
+def _range_of(ranges: str, at: str) -> Column:
+    """The range that holds a rank: the last that begins at or before it."""
+    return F.element_at(F.filter(ranges, lambda r: r["lo"] <= F.col(at)), -1)
+
+
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, groups: int = GROUPS, small_part: int = SMALL_PART) -> DataFrame:
     """(doc_id, piece, start, tokens, container_id): where each piece of each text goes."""
+    with Scratch(docs.sparkSession) as scratch:
+        return stored(_packed(docs, doc_id, text, capacity, tokenizer, groups, small_part, scratch), "packed").withColumnRenamed("doc_id", doc_id)
+
+
+def _packed(docs: DataFrame, doc_id: str, text: str, capacity: int, tokenizer: str, groups: int, small_part: int, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
-    cut = stored(pieces(docs, doc_id, text, capacity, tokenizer), "pieces")
+    cut = stored(pieces(docs, doc_id, text, capacity, tokenizer), "pieces", scratch)
     counts = {r[0]: r[1] for r in cut.groupBy("tokens").count().collect()}  # at most capacity rows
     limit = capacity // small_part
     large = sorted((s for s in counts if s > limit), reverse=True)
@@ -204,22 +226,22 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     offsets = table([(s, int(first_rank[s])) for s in large], "tokens int, off long")
     edges = F.array(*[F.lit(b).cast("long") for b in bounds])
     group = F.size(F.filter(edges, lambda b: b <= F.col("at"))) - 1
-    at_slot = table([tuple(map(int, x)) for x in slots], "lo long, hi long, base long, each int, g int")
+    at_slot = table(_ranges([(x[-1], *x[:-1]) for x in slots]), "g int, ranges array<struct<lo: long, base: long, each: long>>")
     placed = (
         of_size.join(offsets, "tokens").withColumn("at", F.col("off") + F.col("rank")).withColumn("g", group)
-        .join(at_slot, "g").filter("at >= lo and at < hi")
-        .select("doc_id", "piece", "start", "tokens", (F.col("base") + F.floor((F.col("at") - F.col("lo")) / F.col("each"))).cast("long").alias("container_id"))
+        .join(at_slot, "g").withColumn("r", _range_of("ranges", "at"))
+        .select("doc_id", "piece", "start", "tokens", (F.col("r.base") + F.floor((F.col("at") - F.col("r.lo")) / F.col("r.each"))).cast("long").alias("container_id"))
     )
-    placed = stored(placed, "placed")
+    placed = stored(placed, "placed", scratch)
     room = placed.groupBy("container_id").agg((F.lit(capacity) - F.sum("tokens")).cast("int").alias("room"))
     rooms = {r[0]: r[1] for r in room.groupBy("room").count().collect()}  # at most capacity rows
     steps, _ = best_fit(rooms, {s: n for s, n in counts.items() if s <= limit}, capacity)
-    at_step = table([tuple(map(int, x)) for x in steps], "tokens int, lo long, hi long, room int, first long, each int")
+    at_step = table(_ranges([(s, lo, hi, first, each, own) for s, lo, hi, own, first, each in steps]), "tokens int, ranges array<struct<lo: long, base: long, each: long, room: long>>")
     going = (
-        of_size.filter(F.col("tokens") <= limit).join(at_step, "tokens").filter("rank >= lo and rank < hi")
-        .select("doc_id", "piece", "start", "tokens", "room", (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("long").alias("nth"))
+        of_size.filter(F.col("tokens") <= limit).join(at_step, "tokens").withColumn("r", _range_of("ranges", "rank"))
+        .select("doc_id", "piece", "start", "tokens", F.col("r.room").cast("int").alias("room"), (F.col("r.base") + F.floor((F.col("rank") - F.col("r.lo")) / F.col("r.each"))).cast("long").alias("nth"))
     )
     homes = ranked(room, "room", F.col("container_id"), ["container_id"], "nth").select("room", "nth", "container_id")
     into = going.filter("room >= 0").join(homes, ["room", "nth"]).select("doc_id", "piece", "start", "tokens", "container_id")
     own = going.filter("room < 0").select("doc_id", "piece", "start", "tokens", (F.col("nth") + base).alias("container_id"))
-    return placed.unionByName(into).unionByName(own).withColumnRenamed("doc_id", doc_id)
+    return placed.unionByName(into).unionByName(own)

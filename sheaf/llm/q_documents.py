@@ -38,4 +38,13 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_pack": p8_pack, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found}
-ORACLE: dict[str, str] = {}
+_GRAMS = "SELECT {0}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1} WHERE text IS NOT NULL) WHERE len(w) >= 13"
+_LEAKS = f"d AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 12], ' ') AS g FROM ({_GRAMS.format('doc_id', 'documents')})), e AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 12], ' ') AS g FROM ({_GRAMS.format('item_id', 'eval_items')})), leaks AS (SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g))"
+ORACLE = {
+    "p9_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
+    "p9_items": f"WITH {_LEAKS} SELECT item_id, count(*) AS n_docs FROM leaks GROUP BY item_id",
+    # every start of a stretch, by digest; a character counts if the last shared start at or before it is near enough
+    "p10_found": """WITH s AS (SELECT doc_id, length(text) AS n, unnest(range(1, length(text) - 318)) AS i, text FROM documents WHERE length(text) >= 320), k AS (SELECT doc_id, i, md5_number(substr(text, i, 320)) AS h FROM s),
+ shared AS (SELECT h FROM k GROUP BY h HAVING min(doc_id) <> max(doc_id)), starts AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM k SEMI JOIN shared USING (h))
+ SELECT doc_id, sum(least(320, coalesce(next - i, 320)))::BIGINT AS shared_chars FROM starts GROUP BY doc_id""",
+}

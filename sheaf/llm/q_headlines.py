@@ -53,4 +53,10 @@ ORACLE = {
   CASE WHEN position('?' IN url) > 0 THEN array_to_string(list_sort(list_transform(regexp_split_to_array(substr(url, position('?' IN url) + 1), '[&;]'), lambda x: {_CANON.format('x')})), '') ELSE '' END AS q
   FROM news_headlines WHERE title IS NOT NULL AND url IS NOT NULL)
  SELECT min(row_id) AS row_id, count(*) AS n_copies FROM k GROUP BY t, u || q HAVING count(*) > 1""",
+    # words are told apart by four codes of one character each; two titles are near if they are under all four
+    "p7_found": f"""WITH r AS (SELECT row_id, batch_id, gkg_date, {_CANON.format('article_id')} AS idk, CASE WHEN title IS NOT NULL THEN regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+') END AS w FROM news_headlines WHERE batch_id IS NOT NULL),
+ firsts AS (SELECT idk, min(batch_id) AS first FROM r WHERE idk <> '' GROUP BY idk),
+ t AS (SELECT row_id, batch_id, gkg_date, w, {', '.join(f"coalesce(array_to_string(list_transform(w, lambda x: chr((33 + hash(x || '{k}') % 94)::INT)), ''), '') AS c{k}" for k in range(4))} FROM r WHERE w IS NOT NULL AND gkg_date IS NOT NULL),
+ near AS (SELECT DISTINCT a.row_id FROM t a JOIN t b ON b.batch_id < a.batch_id AND b.gkg_date BETWEEN a.gkg_date - INTERVAL 240 HOUR AND a.gkg_date + INTERVAL 240 HOUR AND abs(len(a.w) - len(b.w)) <= 2 WHERE {' AND '.join(f'levenshtein(a.c{k}, b.c{k}) <= 2' for k in range(4))})
+ SELECT row_id FROM near UNION SELECT row_id FROM r JOIN firsts USING (idk) WHERE first < batch_id""",
 }
