@@ -12,7 +12,8 @@ field aren't known; they are estimated together, all records pooled:
   M: chain shares of each source and field (drawn towards the shares of all), and the
      bigrams of clean text, both from counts weighted by the posteriors,
 
-until the pooled shares change by less than STILL (or ROUNDS have passed). It starts from the atoms that only clean text explains. A record's posterior multiplies its
+until the share of clean text stands still to STILL (or ROUNDS have passed): shares that go
+on moving after that move between chains that read the same atoms alike. It starts from the atoms that only clean text explains. A record's posterior multiplies its
 atoms' likelihoods with its source's shares; where a misreading is likelier than none the
 record is found, and undone by its likeliest chain. Characters that were lost (replacement
 characters, or question marks in the place of letters) are found but can't be restored.
@@ -31,12 +32,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.runtime import cut, stored
+from sheaf.runtime import Scratch, stored
 
-ROUNDS = 12  # at most; it ends when the shares of all sources stand still
+ROUNDS = 8  # at most
 STILL = 1e-4
 POOL = 50.0  # weight, in records, of the shares of all sources in those of one
 BACK = 2.0  # weight, in characters, of the single-character model in that of pairs
@@ -145,8 +146,11 @@ def _doubtful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _KEY = ["before", "run", "after"]
 
 
+_ALL = range(len(CHAINS))
+
+
 def _likelihood(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """(atom, chain, ll): log-likelihood of each reading under bigram counts (x, y, n), backed off to single characters."""
+    """(atom, l0, l1, ...): log-likelihood of each chain's reading under bigram counts (x, y, n), backed off to single characters; null without a reading."""
     wild = lambda c: F.when((F.col(c) > "\u007f") & ~F.col(c).rlike("^[\\p{Z}\\p{C}]$"), F.lit(WILD))
     wide = counts.unionByName(counts.select("x", wild("y").alias("y"), "n").filter("y is not null")).unionByName(counts.select(wild("x").alias("x"), "y", "n").filter("x is not null"))
     wide = wide.groupBy("x", "y").agg(F.sum("n").alias("n"))
@@ -156,44 +160,44 @@ def _likelihood(grams: DataFrame, counts: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     p = (zero("n") + BACK * (zero("ny") + RARE) / (total + 1)) / (zero("nx") + BACK)
     met = grams.join(wide, ["x", "y"], "left").join(after, "x", "left").join(alone, "y", "left")
-    return met.groupBy(*_KEY, "chain").agg(F.sum(F.ln(p)).alias("ll"))
+    return met.groupBy(*_KEY).agg(*[F.sum(F.when(F.col("chain") == k, F.ln(p))).alias(f"l{k}") for k in _ALL])
+
 
+def _mass(logs: list[Column]) -> tuple[list[Column], Column]:
+    """exp of logs against the greatest (0 for null), and their sum."""
+    top = F.greatest(*logs)
+    mass = [F.coalesce(F.exp(F.greatest(x - top, F.lit(-700.0))), F.lit(0.0)) for x in logs]
+    return mass, functools.reduce(lambda a, b: a + b, mass)
 
-def fit(texts: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """((atom, chain, ll), (source, chain, share)) from texts (source, text)."""
-    counted = stored(texts.select("source", "text").mapInPandas(_counted, "source string, before string, run string, after string, n long").groupBy("source", *_KEY).agg(F.sum("n").cast("double").alias("n")), "atoms")
-    grams = stored(counted.select(*_KEY).distinct().mapInPandas(_bigrams, "before string, run string, after string, chain int, x string, y string"), "bigrams")
+
+def fit(texts: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """((atom, l0, ...), (source, p0, ...)) from texts (source, text): likelihoods and chain shares.
+
+    A round joins the bigrams with the readings of the distinct atoms, and the likelihoods and
+    shares with the atoms of each source: one row an atom and source, whatever the number of chains.
+    """
+    counted = stored(texts.select("source", "text").mapInPandas(_counted, "source string, before string, run string, after string, n long").groupBy("source", *_KEY).agg(F.sum("n").cast("double").alias("n")), "atoms", scratch)
+    grams = stored(counted.select(*_KEY).distinct().mapInPandas(_bigrams, "before string, run string, after string, chain int, x string, y string"), "bigrams", scratch)
     sure = grams.groupBy(*_KEY).agg(F.max("chain").alias("top")).filter("top = 0").select(*_KEY)
     totals = counted.groupBy(*_KEY).agg(F.sum("n").alias("n"))
-    counts = cut(grams.join(sure, _KEY).join(totals, _KEY).groupBy("x", "y").agg(F.sum("n").alias("n")))
-    n_source = counted.groupBy("source").agg(F.sum("n").alias("ns"))
-    start = (F.when(F.col("chain") == 0, 0.95).otherwise(0.05 / (len(CHAINS) - 1)))
-    chains = texts.sparkSession.range(len(CHAINS)).select(F.col("id").cast("int").alias("chain"))
-    pooled = cut(chains.select("chain", start.alias("p0")))
-    share = n_source.join(F.broadcast(pooled)).select("source", "chain", F.col("p0").alias("share"))  # one row a chain
-    ll, still = None, False
+    counts = stored(grams.join(sure, _KEY).join(totals, _KEY).groupBy("x", "y").agg(F.sum("n").alias("n")), "counts", scratch)
+    pooled = [0.95, *[0.05 / (len(CHAINS) - 1)] * (len(CHAINS) - 1)]
+    share = None
     for k in range(rounds):
         ll = _likelihood(grams, counts)
-        if still or k == rounds - 1:
-            break
-        scored = counted.join(ll, _KEY).join(share, ["source", "chain"]).withColumn("w", F.col("ll") + F.ln("share"))
-        best = F.max("w").over(_window())
-        scored = scored.withColumn("w", F.exp(F.col("w") - best))
-        scored = cut(scored.select("source", *_KEY, "chain", (F.col("n") * F.col("w") / F.sum("w").over(_window())).alias("m")))
-        by_chain = scored.groupBy("source", "chain").agg(F.sum("m").alias("m"))
-        all_n = by_chain.groupBy("chain").agg(F.sum("m").alias("m0"))
-        total = all_n.agg(F.sum("m0").alias("t0"))
-        before, pooled = pooled, chains.join(all_n, "chain", "left").join(F.broadcast(total)).select("chain", ((F.coalesce("m0", F.lit(0.0)) + 1.0) / (F.coalesce("t0", F.lit(0.0)) + len(CHAINS))).alias("p0"))
-        share = n_source.join(F.broadcast(pooled)).join(by_chain, ["source", "chain"], "left").select("source", "chain", ((F.coalesce("m", F.lit(0.0)) + POOL * F.col("p0")) / (F.col("ns") + POOL)).alias("share"))
-        pooled, share = cut(pooled), cut(share)
-        # one row
-        still = pooled.join(before.withColumnRenamed("p0", "was"), "chain").agg(F.max(F.abs(F.col("p0") - F.col("was")))).first()[0] < STILL
-        counts = cut(grams.join(scored.groupBy(*_KEY, "chain").agg(F.sum("m").alias("m")), [*_KEY, "chain"]).groupBy("x", "y").agg(F.sum("m").alias("n")))
-    return ll, share
-
-
-def _window():
-    return Window.partitionBy("source", *_KEY)
+        if share is None:
+            share = counted.select("source").distinct().select("source", *[F.lit(x).alias(f"p{j}") for j, x in enumerate(pooled)])
+        mass, whole = _mass([F.col(f"l{j}") + F.ln(f"p{j}") for j in _ALL])
+        scored = stored(counted.join(ll, _KEY).join(share, "source").select("source", *_KEY, "n", *[(F.col("n") * m / whole).alias(f"m{j}") for j, m in enumerate(mass)]), "scored", scratch)
+        seen = [x or 0.0 for x in scored.agg(*[F.sum(f"m{j}") for j in _ALL]).first()]
+        before, pooled = pooled[0], [(x + 1.0) / (sum(seen) + len(CHAINS)) for x in seen]
+        share = scored.groupBy("source").agg(*[((F.sum(f"m{j}") + POOL * pooled[j]) / (F.sum("n") + POOL)).alias(f"p{j}") for j in _ALL])
+        if k == rounds - 1 or abs(pooled[0] - before) < STILL:
+            return stored(ll, "likelihoods", scratch), stored(share, "shares", scratch)
+        by_chain = scored.groupBy(*_KEY).agg(*[F.sum(f"m{j}").alias(f"m{j}") for j in _ALL])
+        weights = by_chain.select(*_KEY, F.explode(F.array(*[F.struct(F.lit(j).alias("chain"), F.col(f"m{j}").alias("m")) for j in _ALL])).alias("x")).select(*_KEY, "x.*").filter("m > 0")
+        counts = stored(grams.join(weights, [*_KEY, "chain"]).groupBy("x", "y").agg(F.sum("m").alias("n")), "counts", scratch)
+    raise ValueError("at least one round")
 
 
 def garbled(records: DataFrame, record_id: str, fields: list[str], source: str, rounds: int = ROUNDS) -> DataFrame:
@@ -202,24 +206,20 @@ def garbled(records: DataFrame, record_id: str, fields: list[str], source: str,
         F.col(record_id).alias("rid"), F.coalesce(F.col(source).cast("string"), F.lit("\u0000")).alias("src"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"),
     ).select("rid", F.concat_ws("\u0001", "src", "x.field").alias("source"), F.col("x.field").alias("field"), "x.text").filter(F.col("text").rlike("[^\\x00-\\x7f]|\\?"))
-    ll, share = fit(texts, rounds)
-    kind = records.schema[record_id].dataType.simpleString()
-    doubtful = texts.select(F.col("rid").alias("id"), "source", "text").mapInPandas(_doubtful, f"id {kind}, source string, before string, run string, after string")
-    wide = ll.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct("chain", "ll"))).alias("ll")).filter(F.array_max(F.map_keys("ll")) > 0)
-    met = doubtful.join(wide, _KEY)
-    # a chain that leaves an atom as it is reads it as clean
-    terms = [F.coalesce(F.try_element_at("ll", F.lit(k)), F.try_element_at("ll", F.lit(0)), F.lit(-1000.0)) for k in range(len(CHAINS))]
-    able = [F.max(F.try_element_at("ll", F.lit(k)).isNotNull()).alias(f"a{k}") for k in range(len(CHAINS))]
-    per = met.groupBy("id", "source").agg(*[F.sum(t).alias(f"s{k}") for k, t in enumerate(terms)], *able)
-    shares = share.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("chain", "share"))).alias("share"))
-    per = per.join(shares, "source")
-    scores = F.array(*[F.struct(F.when(F.col(f"a{k}"), F.col(f"s{k}") + F.ln(F.try_element_at("share", F.lit(k)))).otherwise(F.lit(-1e300)).alias("w"), F.lit(k).alias("k")) for k in range(len(CHAINS))])
-    per = per.withColumn("scores", scores).withColumn("top", F.array_max(F.transform("scores", lambda s: s["w"])))
-    per = per.withColumn("mass", F.transform("scores", lambda s: F.exp(F.greatest(s["w"] - F.col("top"), F.lit(-700.0)))))
-    per = per.withColumn("all", F.aggregate("mass", F.lit(0.0), lambda a, x: a + x)).withColumn("posterior", 1 - F.get("mass", F.lit(0)) / F.col("all"))
-    chain = F.array_max(F.slice("scores", 2, len(CHAINS) - 1))["k"]
-    name = F.element_at(F.array(*map(F.lit, CHAINS)), chain + 1)
-    return per.filter("posterior > 0.5").select(F.col("id").alias(record_id), F.element_at(F.split("source", "\u0001"), -1).alias("field"), name.alias("chain"), "posterior")
+    with Scratch(records.sparkSession) as scratch:
+        ll, share = fit(texts, scratch, rounds)
+        kind = records.schema[record_id].dataType.simpleString()
+        doubtful = texts.select(F.col("rid").alias("id"), "source", "text").mapInPandas(_doubtful, f"id {kind}, source string, before string, run string, after string")
+        met = doubtful.join(ll.filter(F.coalesce(*[F.col(f"l{k}") for k in _ALL if k]).isNotNull()), _KEY)
+        # a chain that leaves an atom as it is reads it as clean
+        terms = [F.sum(F.coalesce(F.col(f"l{k}"), F.col("l0"), F.lit(-1000.0))).alias(f"s{k}") for k in _ALL]
+        able = [F.max(F.col(f"l{k}").isNotNull()).alias(f"a{k}") for k in _ALL]
+        per = met.groupBy("id", "source").agg(*terms, *able).join(share, "source")
+        logs = [F.when(F.col(f"a{k}"), F.col(f"s{k}") + F.ln(f"p{k}")) for k in _ALL]
+        mass, whole = _mass(logs)
+        chain = F.array_max(F.array(*[F.struct(F.coalesce(x, F.lit(-1e300)).alias("w"), F.lit(name).alias("name"), F.lit(-k)) for k, (x, name) in enumerate(zip(logs, CHAINS, strict=True)) if k]))["name"]
+        found = per.withColumn("posterior", 1 - mass[0] / whole).filter("posterior > 0.5")
+        return stored(found.select(F.col("id").alias(record_id), F.element_at(F.split("source", "\u0001"), -1).alias("field"), chain.alias("chain"), "posterior"), "garbled")
 
 
 def _restored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
