@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.functions import bulletin as B
@@ -14,9 +14,11 @@ from sheaf.plans.models import weekly_panel
 from sheaf.plans.prices import DAY, bars, rounded
 from sheaf.plans.reports import _CLEAN, _FRI
 from sheaf.plans.weather import _FC, LEADS, climo_one_out, covered, forecasts
-from sheaf.runtime import read
+from sheaf.runtime import fresh_path, read, remove, stored
 from sheaf.sources import requests as Q
+from sheaf.sources import tables as T
 from sheaf.sources.demo import demo_prices, demo_weather, week_anomaly
+from sheaf.sources.html import manifest
 
 
 def paginated(s: SparkSession, d: str) -> DataFrame:
@@ -103,6 +105,48 @@ def demo_shapes(s: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def month_folders(s: SparkSession, d: str) -> DataFrame:
+    """Headlines written as month folders, the months of a half-open span read back by them alone, in order of time and id."""
+    path = fresh_path(s, "months")
+    try:
+        news = read(s, d, "news_headlines").filter("gkg_date is not null").select("row_id", "article_id", "gkg_date")
+        T.write_months(news, path, "gkg_date")
+        months = [r.m for r in s.range(1).select(F.explode(K.month_ranges("2023-02-10", "2023-07-01")).alias("x")).select(F.date_format("x.month_start", "yyyyMM").cast("int").alias("m")).collect()]
+        kept = T.read_months(s, path).filter((F.col("year") * 100 + F.col("month")).isin(months)).filter((F.col("gkg_date") >= "2023-02-10") & (F.col("gkg_date") < "2023-07-01"))
+        return stored(kept.orderBy("gkg_date", "article_id").select("row_id", "article_id", "year", "month"), "months")
+    finally:
+        remove(s, path)
+
+
+def date_window(s: SparkSession, d: str) -> DataFrame:
+    """Bars of an inclusive span, in order, with their load time as UTC wall-clock time without zone."""
+    rows = read(s, d, "daily_prices").filter(F.col("date").between("2023-03-01", "2023-03-31"))
+    return rows.orderBy("date", "bar_id").select("bar_id", F.date_format("date", DAY).alias("date"), F.date_format(F.to_timestamp_ntz(F.date_format("loaded_at", "yyyy-MM-dd HH:mm:ss"), F.lit("yyyy-MM-dd HH:mm:ss")), "yyyy-MM-dd HH:mm").alias("loaded"))
+
+
+def fetched(s: SparkSession, d: str) -> DataFrame:
+    """Which of the bulletins' files have scores already."""
+    return manifest(read(s, d, "wwcb_core_text").select("source_file").distinct(), read(s, d, "report_scores"), "source_file").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lead_set_table(s: SparkSession, d: str) -> DataFrame:
+    """The columns of the three sets of each lead over the daily features with the leads' forecasts."""
+    forecasts_of = [f"weather_{n}_l{x}" for x in (7, 14) for n in ("heat_forecast_z", "dryness_forecast_z", "heat_x_dryness", "heat_projected_change", "dryness_projected_change", "projected_heat_x_dryness")]
+    columns = [*S.daily_features(bars(s, d)).columns, *P.DAILY_CALENDAR, *forecasts_of]
+    rows = [(name, k, c) for x in (7, 14) for name, own in P.lead_sets(columns, x).items() for k, c in enumerate(own)]
+    return s.createDataFrame(rows, "set_name string, position int, column_name string")
+
+
+def panel_weather(s: SparkSession, d: str) -> DataFrame:
+    """The weekly panel's weather and text, joined on the week."""
+    return rounded(weekly_panel(s, d).select("series", "week", "weather_quantity", "weather_discount", F.length("report_text").alias("text_length"), "calendar_quarter"))
+
+
+def parsed_sources(s: SparkSession, d: str) -> DataFrame:
+    """Bars under other names, brought to the usual ones."""
+    return rounded(T.normal_bars(read(s, d, "daily_prices").select(F.col("date").alias("Date"), F.col("open").alias("Open"), F.col("close").alias("Close"), F.col("volume").alias("Volume"))))
+
+
 def yearly_means(s: SparkSession, d: str) -> DataFrame:
     """Means of each lead by year, a column a year; the years are the orders' own."""
     x = forecasts(s, d).withColumn("yr", F.year("decision_date"))
@@ -112,6 +156,7 @@ def yearly_means(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "bulletin_parts": parsed, "schedules": schedules, "request_urls": requests, "week_anomalies": anomalies, "price_weather": price_weather, "feature_sets": set_table, "run_names": run_names, "first_values": first_values, "cell_weights": cell_weights, "demo_shapes": demo_shapes, "metrics_pivot": yearly_means,
+    "month_folders": month_folders, "date_window": date_window, "fetch_manifest": fetched, "lead_sets": lead_set_table, "panel_weather": panel_weather, "normal_bars": parsed_sources,
     "climatology_one_out": lambda s, d: rounded(climo_one_out(s, d)),
 }
 _B = "b AS (SELECT *, try_cast(report_date AS DATE) AS rd, try_cast(week_ending AS DATE) AS we, " + ", ".join(f"replace(coalesce({c}, ''), chr(12), '') AS {n}" for c, n in (("weather_highlights", "wh"), ("national_ag_summary", "na"), ("corn_table_text", "ct"))) + " FROM wwcb_core_text WHERE try_cast(report_date AS DATE) IS NOT NULL AND try_cast(week_ending AS DATE) IS NOT NULL)"
@@ -145,4 +190,11 @@ ORACLE = {
     "metrics_pivot": f"WITH {_FC} SELECT lead_day, " + ", ".join(f"round(avg(v) FILTER (year(decision_date) = {y}), 6) AS y{y}" for y in range(1995, 2002)) + " FROM fc GROUP BY 1",
     "climatology_one_out": f"WITH {_FC}, k AS (SELECT *, {_SD.format('decision_date')} AS sd FROM fc), c AS (SELECT a.decision_date, a.lead_day, count(b.v) AS climo_n, avg(b.v) AS m, stddev_samp(b.v) AS s FROM k a LEFT JOIN k b ON a.lead_day = b.lead_day AND b.decision_date <> a.decision_date AND least(abs(a.sd - b.sd), 365 - abs(a.sd - b.sd)) <= 5 GROUP BY 1, 2) "
     f"SELECT {_D.format('decision_date')} AS decision_date, lead_day, climo_n, CASE WHEN climo_n >= 5 THEN round(m, 6) END AS climo_mean, CASE WHEN climo_n >= 5 THEN round(s, 6) END AS climo_std FROM c",
+    "month_folders": "WITH q AS (SELECT row_id, article_id, gkg_date AT TIME ZONE 'UTC' AS g FROM news_headlines) SELECT row_id, article_id, year(g)::INT AS year, month(g)::INT AS month FROM q WHERE g >= TIMESTAMP '2023-02-10' AND g < TIMESTAMP '2023-07-01' ORDER BY g, article_id",
+    "date_window": "SELECT bar_id, strftime(date, '%Y-%m-%d') AS date, strftime(loaded_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS loaded FROM daily_prices WHERE date BETWEEN DATE '2023-03-01' AND DATE '2023-03-31'",
+    "fetch_manifest": "SELECT CASE WHEN source_file IN (SELECT source_file FROM report_scores WHERE source_file IS NOT NULL) THEN 'exists' ELSE 'missing' END AS status, count(*) AS n FROM (SELECT DISTINCT source_file FROM wwcb_core_text) GROUP BY 1",
+    "lead_sets": " UNION ALL ".join(f"SELECT '{n}' AS set_name, unnest(range({len(c)}))::INT AS position, unnest({c}) AS column_name" for x in (7, 14) for base in [[*[f"price_return_lag_{k}d" for k in (1, 2, 5, 10, 21)], *[f"price_vol_{k}d" for k in (5, 10, 21, 63)], *[f"price_momentum_{k}d" for k in (5, 10, 21, 63)], "month", "quarter", "weekofyear_sin", "weekofyear_cos", "dayofweek_sin", "dayofweek_cos", "is_planting_season", "is_pollination_season", "is_harvest_season", "is_winter_storage_season"]]
+        for fc, pr in [([f"weather_{k}_l{x}" for k in ("heat_forecast_z", "dryness_forecast_z", "heat_x_dryness")], [f"weather_{k}_l{x}" for k in ("heat_projected_change", "dryness_projected_change", "projected_heat_x_dryness")])] for n, c in ((f"lead{x:02d}_price_calendar", base), (f"lead{x:02d}_forecast_anom", base + fc), (f"lead{x:02d}_forecast_anom_projected_change", base + fc + pr))),
+    "panel_weather": f"WITH {_BARS}, w AS (SELECT DISTINCT series, {_FRI.format('date')} AS week FROM bars), x AS (SELECT {_FRI.format("(l_shipdate + INTERVAL 336 MONTH)::DATE")} AS week, avg(l_quantity) AS q, avg(l_discount) AS c FROM lineitem GROUP BY 1), t AS (SELECT {_FRI.format('try_cast(report_date AS DATE)')} AS week, string_agg(national_ag_summary, ' ' ORDER BY bulletin_id) AS t FROM wwcb_core_text WHERE national_ag_summary IS NOT NULL AND try_cast(report_date AS DATE) IS NOT NULL GROUP BY 1) SELECT series, {_D.format('week')} AS week, round(q, 6) AS weather_quantity, round(c, 6) AS weather_discount, length(coalesce(t, ''))::INT AS text_length, quarter(week)::INT AS calendar_quarter FROM w LEFT JOIN x USING (week) LEFT JOIN t USING (week)",
+    "normal_bars": "SELECT strftime(date, '%Y-%m-%d') AS date, round(open, 6) AS open, NULL::DOUBLE AS high, NULL::DOUBLE AS low, round(close, 6) AS close, round(close, 6) AS adj_close, volume::BIGINT AS volume FROM daily_prices WHERE close IS NOT NULL",
 }
