@@ -14,15 +14,22 @@ same anchor, and each text of n characters has about 2n / (MIN_CHARS - PREFIX) o
    the longest common part before the anchors, between different records, is found by
    sorting the reversed left sides. Node depth plus left part of MIN_CHARS or more is a
    repeat, given back as an interval of each record.
-4. A prefix that more than group_limit suffixes share is lengthened to all MIN_CHARS
-   characters, for every stretch around the anchor: such a group needs no tree, as all of
-   it is a repeat; it is only counted, with partial counts on the map side.
+4. A prefix that more than group_limit suffixes share isn't put into one group as it is.
+   Suffixes with the same characters on both sides become one context, with partial results
+   on the map side, so that copies, however many, are one leaf. Where more than group_limit
+   contexts are left, their prefix is lengthened, to WINDOW characters that begin STEP
+   characters apart before the anchor: every stretch around the anchor holds one of these
+   windows, and each window's group is a tree of its own. Where a window, too, is shared by
+   more contexts than that, the prefix is lengthened to the whole stretch for each of the STEP
+   stretches that hold the window: a node at that depth is a repeat whatever lies below it.
+   What is found in a context is then found in all its suffixes.
 5. Intervals of a record are merged and their characters counted.
 
-Nothing is dropped: groups over the limit take step 4. Only prefix digests, and texts of
-records with a shared prefix, are shuffled. Defined results: null texts and texts shorter
-than MIN_CHARS share nothing; a repeat within one record alone doesn't count; rows that
-repeat a record id with the same text are one record; positions are code points.
+Nothing is dropped: each step takes what is too many for the one before. Only prefix
+digests, and texts of records with a shared prefix, are shuffled. Defined results: null
+texts and texts shorter than MIN_CHARS share nothing; a repeat within one record alone
+doesn't count; rows that repeat a record id with the same text are one record; positions
+are code points.
 """
 
 from __future__ import annotations
@@ -31,14 +38,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.runtime import stored
+from sheaf.runtime import Scratch, stored
 
 MIN_CHARS = 320
 PREFIX = 64
 GROUP_LIMIT = 4096
+STEP = 64
+WINDOW = MIN_CHARS - STEP
 _PIECE = 1 << 20
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
@@ -149,16 +158,19 @@ def group_repeats(group: list[tuple[int, int, str, str]], least: int = MIN_CHARS
     same: dict[tuple[str, str], list[tuple[int, int]]] = {}
     for doc, at, before, after in group:
         same.setdefault((before, after), []).append((doc, at))
-    found: list[tuple[int, int, int]] = []
-    leaves = []
-    for (before, after), where in same.items():
-        several = len({d for d, _ in where}) > 1
-        if several and len(before) + len(after) >= least:
+    leaves = [(before[::-1], after, None if len({d for d, _ in where}) > 1 else where[0][0], where) for (before, after), where in same.items()]
+    return tree_repeats(leaves, least)
+
+
+def tree_repeats(leaves: list[tuple[str, str, object, list[tuple]]], least: int = MIN_CHARS) -> list[tuple]:
+    """Intervals (owner, start, end) of the leaves (left side reversed, right side, record or None for several, [(owner, anchor)])."""
+    found: list[tuple] = []
+    for before, after, doc, where in leaves:
+        if doc is None and len(before) + len(after) >= least:
             found += [(d, at - len(before), at + len(after)) for d, at in where]
-        leaves.append((before[::-1], after, None if several else where[0][0], where))
-    if len(leaves) == 1:
+    if len(leaves) < 2:
         return found
-    leaves.sort(key=lambda x: x[1])
+    leaves = sorted(leaves, key=lambda x: x[1])
     gaps = [_common(a[1], b[1]) for a, b in zip(leaves, leaves[1:], strict=False)]
     stack = [(0, len(leaves))]
     while stack:
@@ -217,17 +229,34 @@ def _repeats_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(group_repeats(group), columns=["doc_id", "start", "end"])
 
 
+def _context_repeats_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Repeats in the contexts of each group, as intervals about the anchor."""
+    columns = ["context", "start", "end"]
+    now, leaves = None, []
+    for pdf in batches:
+        found = []
+        for g, c, lo, hi, before, after in zip(pdf.g, pdf.context, pdf.lo, pdf.hi, pdf.before, pdf.after, strict=True):
+            if g != now:
+                found += tree_repeats(leaves)
+                now, leaves = g, []
+            leaves.append((before[::-1], after, lo if lo == hi else None, [(c, 0)]))
+        yield pd.DataFrame(found, columns=columns)
+    if leaves:
+        yield pd.DataFrame(tree_repeats(leaves), columns=columns)
+
+
 def _stretches_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All stretches around the anchors of large groups, with two digests each."""
-    size = 2 * MIN_CHARS
-    rolls = [_Hash(b, size) for b in _BASES]
+    """The stretches that hold a window of a context, with two digests each."""
+    rolls = [_Hash(b, 2 * MIN_CHARS) for b in _BASES]
     for pdf in batches:
         out = []
-        for doc, at, before, after in zip(pdf.doc_id, pdf["at"], pdf.before, pdf.after, strict=True):
-            if len(before) + len(after) >= MIN_CHARS:
-                chars = np.frombuffer((before + after).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        for c, lo, hi, j, before, after in zip(pdf.context, pdf.lo, pdf.hi, pdf.j, pdf.before, pdf.after, strict=True):
+            most = min((j + 1) * STEP - 1, len(before), MIN_CHARS - PREFIX)
+            first = max(j * STEP, MIN_CHARS - len(after))
+            if first <= most:
+                chars = np.frombuffer((before[len(before) - most :] + after[: MIN_CHARS - first]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                 a, b = (r.runs(chars, MIN_CHARS).astype(np.int64) for r in rolls)
-                out.append(pd.DataFrame({"a": a, "b": b, "doc_id": doc, "start": (at - len(before) + np.arange(len(a))).astype("int32")}))
+                out.append(pd.DataFrame({"a": a, "b": b, "context": c, "lo": lo, "hi": hi, "start": (np.arange(len(a)) - most).astype("int32")}))
             if len(out) >= 400:
                 yield pd.concat(out, ignore_index=True)
                 out = []
@@ -235,21 +264,50 @@ def _stretches_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.concat(out, ignore_index=True)
 
 
-def shared_intervals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
+def _large_repeats(sides: DataFrame, kind: str, group_limit: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, start, end) of the suffixes (h, doc_id, at, before, after) whose prefixes are shared by too many for a group."""
+    context = F.md5(F.concat_ws("\u0001", F.col("h").cast("string"), F.length("before").cast("string"), "before", "after").cast("binary"))
+    named = sides.withColumn("context", context)
+    contexts = stored(named.groupBy("context").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("h").alias("h"), F.first("before").alias("before"), F.first("after").alias("after")), "contexts", scratch)
+    few = lambda df, key: df.groupBy(key).agg((F.count(F.lit(1)) <= group_limit).alias("few"))
+    columns = ["g", "context", "lo", "hi", "before", "after"]
+    by_prefix = contexts.join(few(contexts, "h"), "h")
+    trees = by_prefix.filter("few").withColumn("g", F.col("h")).select(*columns)
+    j = F.col("j")
+    windows = by_prefix.filter("not few").drop("few").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit((MIN_CHARS - PREFIX) // STEP)))).filter((F.length("before") >= j * STEP) & (F.length("after") >= F.lit(WINDOW) - j * STEP))
+    window = F.concat(F.expr(f"right(before, j * {STEP})"), F.expr(f"left(after, {WINDOW} - j * {STEP})"))
+    windows = stored(windows.withColumn("g", F.xxhash64("h", "j", window)).select(*columns, "j"), "windows", scratch)
+    by_window = windows.join(few(windows, "g"), "g")
+    trees = trees.unionByName(by_window.filter("few").select(*columns))
+    about = "context string, start int, end int"
+    found = trees.repartition("g").sortWithinPartitions("g").mapInPandas(_context_repeats_of, about)
+    stretches = stored(by_window.filter("not few").select("context", "lo", "hi", "j", "before", "after").mapInPandas(_stretches_of, f"a long, b long, context string, lo {kind}, hi {kind}, start int"), "stretches", scratch)
+    often = stretches.groupBy("a", "b").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("a", "b")
+    found = found.unionByName(stretches.join(often, ["a", "b"], "left_semi").select("context", "start", (F.col("start") + MIN_CHARS).alias("end")))
+    # a context's intervals are merged before its suffixes, which may be very many, take them over
+    merged = found.groupBy("context").agg(F.aggregate(F.sort_array(F.collect_set(F.struct("start", "end"))), F.array().cast("array<struct<start: int, end: int>>"), _merge).alias("x"))
+    return named.select("context", "doc_id", "at").join(merged, "context").select("doc_id", "at", F.inline("x")).select("doc_id", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
+
+
+def _merge(done: Column, x: Column) -> Column:
+    """Intervals merged so far and the next by its start."""
+    last = F.try_element_at(done, F.lit(-1))
+    longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+    return F.when(last["end"] >= x["start"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+
+def shared_intervals(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(doc_id, start, end): stretches of at least MIN_CHARS characters that another document holds too; they may overlap."""
     kind = docs.schema[doc_id].dataType.simpleString()
     corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull() & (F.length("text") >= MIN_CHARS))
-    marks = stored(corpus.mapInPandas(_anchors_of, f"h long, doc_id {kind}, at int"), "anchors")
+    marks = stored(corpus.mapInPandas(_anchors_of, f"h long, doc_id {kind}, at int"), "anchors", scratch)
     shared = marks.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("h", (F.col("n") > group_limit).alias("big"))
     per_doc = marks.join(shared, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "at", "big")).alias("marks"))
     sides = corpus.join(per_doc, "doc_id").select("doc_id", "text", "marks").mapInPandas(_sides_of, f"h long, big boolean, doc_id {kind}, at int, before string, after string")
-    sides = stored(sides, "sides")
-    intervals = f"doc_id {kind}, start int, end int"
-    trees = sides.filter("not big").drop("big").repartition("h").sortWithinPartitions("h").mapInPandas(_repeats_of, intervals)
-    stretches = sides.filter("big").mapInPandas(_stretches_of, f"a long, b long, doc_id {kind}, start int")
-    often = stretches.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("a", "b")
-    large = stretches.join(often, ["a", "b"], "left_semi").select("doc_id", "start", (F.col("start") + MIN_CHARS).alias("end"))
-    return trees.unionByName(large)
+    sides = stored(sides, "sides", scratch)
+    large = sides.filter("big").drop("big")
+    trees = sides.filter("not big").drop("big").repartition("h").sortWithinPartitions("h").mapInPandas(_repeats_of, f"doc_id {kind}, start int, end int")
+    return trees.unionByName(_large_repeats(large, kind, group_limit, scratch)) if large.take(1) else trees
 
 
 def shared_chars(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -260,5 +318,10 @@ def shared_chars(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gr
         fresh = F.greatest(x["end"] - F.greatest(x["start"], s["reach"]), F.lit(0))
         return F.struct((s["n"] + fresh).cast("long").alias("n"), F.greatest(s["reach"], x["end"]).alias("reach"))
 
-    found = shared_intervals(docs, doc_id, text, group_limit).groupBy("doc_id", "start").agg(F.max("end").alias("end"))
+    with Scratch(docs.sparkSession) as scratch:
+        found = shared_intervals(docs, scratch, doc_id, text, group_limit).groupBy("doc_id", "start").agg(F.max("end").alias("end"))
+        return stored(_covered(found, zero, add, doc_id), "spans")
+
+
+def _covered(found: DataFrame, zero, add, doc_id: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("x")).select(F.col("doc_id").alias(doc_id), F.aggregate("x", zero, add)["n"].alias("shared_chars"))

@@ -38,7 +38,7 @@ def random_corpus(seed, n=40):
     return docs
 
 
-@pytest.mark.parametrize("limit", [4096, 3])
+@pytest.mark.parametrize("limit", [4096, 3, 8, 1])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_brute_force(spark, seed, limit):
     docs = random_corpus(seed) + [(900, None), (901, ""), (902, "x" * 1000), (903, "x" * 700), (904, "ab" * 500), (905, docs_tail := random_corpus(seed)[3][1]), (906, docs_tail + "z")]
@@ -46,6 +46,18 @@ def test_against_brute_force(spark, seed, limit):
     assert {r.doc_id: r.shared_chars for r in shared_chars(df, group_limit=limit).collect()} == by_hand(docs)
 
 
+def test_a_common_beginning_of_many(spark):
+    """One prefix before many continuations, and one text that a third of the rows are."""
+    rng = np.random.default_rng(8)
+    word = lambda k: "".join(rng.choice(list("abcdefgh "), k))
+    head, boiler = word(330), word(500)
+    docs = [(i, boiler if i % 3 == 0 else head[: 60 + i] + word(400) if i % 3 == 1 else word(100) + head[i:] + word(50)) for i in range(90)]
+    want = by_hand(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for limit in (5, 40):
+        assert {r.doc_id: r.shared_chars for r in shared_chars(df, group_limit=limit).collect()} == want
+
+
 def test_test_data(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert {r.doc_id: r.shared_chars for r in shared_chars(df).collect()} == by_hand([(r.doc_id, r.text) for r in df.collect()])
