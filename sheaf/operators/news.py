@@ -12,9 +12,22 @@ from sheaf.functions.calendar import friday
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in an order; keys of null are one group."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__n", n).filter("__n = 1").drop("__n")
+    """The first row of each key in an ascending order, nulls first; keys of null are one group. Combined before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__x")).select(*keys, "__x.*")
+
+
+def numbered(df: DataFrame, keys: list[str], number: str, out: str, block: int = 1 << 16) -> DataFrame:
+    """df with out, the place 1, 2, ... of a row within its keys by a whole number, ties in any order.
+
+    Rows are numbered in blocks of the number's range and the blocks' counts added up, so that a
+    frequent key is as many tasks as it has blocks.
+    """
+    cut = df.withColumn("__b", F.floor(F.col(number) / block))
+    w = Window.partitionBy(*keys).orderBy("__b")
+    counts = cut.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__c")).withColumn("__before", F.sum("__c").over(w) - F.col("__c")).drop("__c")
+    local = cut.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(number)))
+    return local.join(counts, [*keys, "__b"]).withColumn(out, F.col("__before") + F.col("__n")).select(*df.columns, out)
 
 
 def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -94,7 +107,8 @@ def article_rows(payloads: DataFrame, payload: str, query: str) -> DataFrame:
     at = F.coalesce(F.try_to_timestamp(stamp, F.lit("yyyyMMdd'T'HHmmssX")), F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")), stamp.try_cast("timestamp"))
     rows = rows.select("query", "__pos", at.alias("seendate"), X.stripped(F.col("x.title")).alias("title"), X.stripped(F.col("x.url")).alias("url"), "x.domain", "x.language", "x.sourcecountry").filter("title != '' and url != '' and seendate is not null")
     rows = rows.select(X.article_id(F.col("url"), F.col("title")).alias("article_id"), "seendate", friday(F.to_date("seendate")).alias("week"), "title", "url", "domain", "language", "sourcecountry", "query", "__pos")
-    return first_by(rows, ["article_id"], [F.col("query"), F.col("__pos")]).drop("__pos")
+    first = first_by(rows, ["article_id"], [F.col("query"), F.col("__pos")])
+    return first.select("article_id", "seendate", "week", "title", "url", "domain", "language", "sourcecountry", "query")
 
 
 ALIASES = {"title": "headline", "url": "source_url", "domain": "source_name", "seendate": "gkg_date"}

@@ -162,7 +162,7 @@ QUERIES = {
     "json_replies": json_replies,
     "article_ids": lambda s, d: read(s, d, "news_headlines").select("row_id", X.article_id(F.col("url"), F.col("title")).alias("own_id")),
     "slug_titles": lambda s, d: read(s, d, "news_headlines").filter("url is not null").select("row_id", X.slug_title(F.col("url")).alias("slug")),
-    "headlines_first": lambda s, d: N.first_by(read(s, d, "news_headlines").filter("title is not null").select("title", "gkg_date", "url", "row_id"), ["title"], [F.col("gkg_date"), F.col("url").asc_nulls_first(), F.col("row_id")]).select("title", "row_id"),
+    "headlines_first": lambda s, d: N.first_by(read(s, d, "news_headlines").filter("title is not null").select("title", "gkg_date", "url", "row_id"), ["title"], [F.col("gkg_date"), F.col("url"), F.col("row_id")]).select("title", "row_id"),
     "last_per_source": lambda s, d: N.last_n(read(s, d, "documents").filter("source is not null and published_at is not null").select("doc_id", "source", "published_at"), ["source"], [F.desc("published_at"), F.desc("doc_id")], 3).select("doc_id", "source"),
     "top_documents": lambda s, d: read(s, d, "documents").select("doc_id", "n_chars", "title").orderBy(F.desc_nulls_last("n_chars"), "doc_id").limit(10),
     "keyword_weeks": lambda s, d: rounded(N.keyword_weeks(read(s, d, "wwcb_core_text"), friday(F.col("report_date").try_cast("date")), F.col("report_text"))),
@@ -176,7 +176,7 @@ QUERIES = {
     "sections": lambda s, d: read(s, d, "wwcb_core_text").select("bulletin_id", X.slice_between(F.col("report_text"), "\\[corn section\\]\n", ["\\[CORN PROGRESS TABLE\\]", "\\[NONE\\]"]).alias("part")),
     "tfidf": lambda s, d: rounded(tfidf(read(s, d, "wwcb_core_text"), "bulletin_id", "national_ag_summary")),
     "panel_summary": lambda s, d: feature_panel(s, d).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("series").alias("n_series"), F.date_format(F.min("week"), DAY).alias("first"), F.date_format(F.max("week"), DAY).alias("last"), F.count_if(F.col("n_reports").isNotNull()).alias("with_scores")),
-    "batches": lambda s, d: read(s, d, "report_scores").select("bulletin_id", "week").filter("week is not null").withColumn("batch", F.floor((F.expr("row_number() over (partition by week order by bulletin_id)") - 1) / 5)).groupBy(F.date_format("week", DAY).alias("week"), "batch").agg(F.count(F.lit(1)).alias("n")),
+    "batches": lambda s, d: read(s, d, "report_scores").select("bulletin_id", "week").filter("week is not null").transform(lambda x: N.numbered(x, ["week"], "bulletin_id", "place")).withColumn("batch", F.floor((F.col("place") - 1) / 5)).groupBy(F.date_format("week", DAY).alias("week"), "batch").agg(F.count(F.lit(1)).alias("n")),
 }
 _EV = "ev AS (SELECT event_id, (ts AT TIME ZONE 'UTC')::DATE AS day, (props::JSON ->> 'k')::DOUBLE AS w, value AS y, CASE WHEN value > 50 THEN value END AS z FROM events)"
 _FRI = "({0} + ((12 - dayofweek({0})) % 7)::INT)::DATE"
