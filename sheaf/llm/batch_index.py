@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.ledger import letters_and_digits, loads
-from sheaf.runtime import DAY_US, BucketTable, Scratch, exists, fresh_path, get_text, put_text, remove, stored
+from sheaf.runtime import DAY_US, BucketTable, Scratch, exists, fresh_path, get_text, put_text, remove, stored, together
 
 EDITS = 2
 DAYS = 10
@@ -382,11 +382,10 @@ class BatchIndex:
         # the index side reaches one span to each side, so that a probe needs its own span only
         reach = entries(self.new, 1)
         segs = reach.select("g", "tk", "sig", "words").mapInPandas(_level0(True, []), _LEVEL0)
-        self.segments.append(segs.repartition(buckets, "key").withColumn("load", load))
-        self.titles.append(reach.select("tk", "words", F.col("g").cast("int").alias("g")).repartition(buckets, "tk").withColumn("load", load))
-        dates = own.groupBy("tk", "span", "batch").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-        self.dates.append(dates.repartition(buckets, "tk").withColumns({"batch": F.col("batch").cast("int"), "g": period, "load": load}))
-        self.ids.append(keyed.groupBy("key").agg(F.min("batch").cast("int").alias("first")).repartition(buckets, "key").withColumn("load", load))
+        dates = own.groupBy("tk", "span", "batch").agg(F.min("us").alias("lo"), F.max("us").alias("hi")).withColumns({"batch": F.col("batch").cast("int"), "g": period})
+        ids = keyed.groupBy("key").agg(F.min("batch").cast("int").alias("first"))
+        words = reach.select("tk", "words", F.col("g").cast("int").alias("g"))
+        together(self.spark, *[lambda t=t, df=df: t.append(df.repartition(buckets, t.key).withColumn("load", load)) for t, df in ((self.segments, segs), (self.titles, words), (self.dates, dates), (self.ids, ids))])
 
     def _matches(self, own: DataFrame, keyed: DataFrame, number: int, hot: int, scratch: Scratch) -> DataFrame:
         titles, buckets = self.new, self.about["buckets"]

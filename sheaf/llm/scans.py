@@ -745,14 +745,14 @@ def repaired(records: DataFrame, record_id: str, fields: list[str], clean_fields
     schema = f"{record_id} {kind}, field_name string, text string, kinds array<string>"
     also = records.select(F.explode(F.array(*[F.col(f) for f in clean_fields])).alias("text")) if clean_fields else None
     with Scratch(spark) as scratch:
-        texts = stored(long_form(records, record_id, fields).filter("text is not null"), "texts")
+        texts = stored(long_form(records, record_id, fields).filter("text is not null"), "texts", scratch)
         counts = stored(key_counts(texts, also), "counts", scratch)
         keys, sample = counts.count(), training_texts(texts, train_texts)
         if SPARE * keys <= most_cells:
             sketch = sketched(counts, keys)
             models = {k: (getattr(m, "labels", None), dict(m.w)) for k, m in train(*sample, sketch).items()}
             held = spark.sparkContext.broadcast((models, sketch.cells))  # MOST_CELLS bytes at most and the perceptrons' weights
-            return texts.mapInPandas(_editing(lambda: held.value[0], lambda: Sketch(np.frombuffer(held.value[1], dtype=np.uint8)), record_id), schema)
+            return stored(texts.mapInPandas(_editing(lambda: held.value[0], lambda: Sketch(np.frombuffer(held.value[1], dtype=np.uint8)), record_id), schema), "repaired")
         # the training texts, too, ask for what they need
         levels: dict[str, int] = {}
         while True:
