@@ -6,7 +6,7 @@ gathered with another. Null texts give null dates and empty sections.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.calendar import friday
@@ -125,3 +125,15 @@ def crop_table(text: Column) -> Column:
     start = "(?i)Corn Percent Planted"
     rest = F.regexp_extract(text, "((?i:Corn Percent Planted)(?s:.*))", 1)
     return F.when(text.rlike(start), normal_space(F.regexp_replace(rest, "(?i:Soybeans Percent Planted)(?s:.*)", ""))).otherwise("")
+
+
+def parse(df: DataFrame, text: str) -> DataFrame:
+    """df with report_date, week_ending, week, weather_highlights, national_summary, crop_column, crop_paragraph and crop_table of a bulletin's text.
+
+    Parts that others are made of are computed once: a generator keeps the optimizer from
+    copying them into every use.
+    """
+    t = F.col(text)
+    once = lambda x, **c: x.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in c.items()]))))
+    out = once(df, report_date=report_date(t), week_ending=week_ending(t), weather_highlights=weather_highlights(t), national_summary=national_summary(t), crop_column=crop_column(t), crop_table=crop_table(t))
+    return out.withColumns({"week": decision_week(F.col("report_date"), F.col("week_ending")), "crop_paragraph": crop_paragraph(F.col("national_summary"))})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import heapq
 import re
 from collections import Counter
 from collections.abc import Callable
@@ -124,24 +126,30 @@ class Model:
     terms: int = 30
 
 
+@functools.lru_cache(maxsize=1024)
+def _counted(text: str | None) -> Counter:
+    """Words and pairs of neighbouring words of a text; series that share their texts, and folds, count each once."""
+    w = [x for x in re.findall(r"\w\w+", (text or "").lower()) if x not in _STOPPED]
+    return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+
+
 def _terms(train: pd.Series, test: pd.Series, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the training texts' most frequent words and pairs of words, smoothed and of length 1."""
-    def cut(t: str | None) -> list[str]:
-        w = [x for x in re.findall(r"\w\w+", (t or "").lower()) if x not in STOP_WORDS]
-        return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
-
-    docs = [Counter(cut(t)) for t in train]
+    docs = [_counted(t) for t in train]
     total: Counter = Counter()
     for d in docs:
         total.update(d)
-    vocabulary = [t for t, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:most]]
+    vocabulary = [t for t, _ in heapq.nsmallest(most, total.items(), key=lambda x: (-x[1], x[0]))]
     idf = np.array([np.log((1 + len(docs)) / (1 + sum(t in d for d in docs))) + 1 for t in vocabulary])
 
     def weights(some: list[Counter]) -> np.ndarray:
         x = np.array([[d[t] for t in vocabulary] for d in some], dtype=float).reshape(len(some), len(vocabulary)) * idf
         return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
-    return weights(docs), weights([Counter(cut(t)) for t in test])
+    return weights(docs), weights([_counted(t) for t in test])
+
+
+_STOPPED = frozenset(STOP_WORDS)
 
 
 def _imputed(train: pd.DataFrame, test: pd.DataFrame, columns: list[str], scale: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -207,4 +215,6 @@ def walk_forward(panel: DataFrame, by: list[str], models: list[Model], order: st
                 out.append(test[[*by, order]].assign(fold=fold, model=m.name, y_true=test[m.target].astype(float), y_pred=got[0], train_mean=train[m.target].astype(float).mean(), alpha=np.nan if got[1] is None else got[1], n_train=len(train))[names])
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)
 
-    return panel.select(*by, order, *needed).groupBy(*by).applyInPandas(run, schema)
+    # models cost far more than their rows weigh: small partitions mustn't be put together
+    parts = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return panel.select(*by, order, *needed).repartition(parts, *by).groupBy(*by).applyInPandas(run, schema)

@@ -38,9 +38,7 @@ def paginated(s: SparkSession, d: str) -> DataFrame:
 
 
 def parsed(s: SparkSession, d: str) -> DataFrame:
-    t = F.col("t")
-    x = paginated(s, d).select("bulletin_id", B.report_date(t).alias("report_date"), B.week_ending(t).alias("week_ending"), B.weather_highlights(t).alias("weather_highlights"), B.national_summary(t).alias("national_summary"), B.crop_column(t).alias("crop_column"), B.crop_paragraph(B.national_summary(t)).alias("crop_paragraph"), B.crop_table(t).alias("crop_table"))
-    return rounded(x.withColumn("week", B.decision_week(F.col("report_date"), F.col("week_ending"))))
+    return rounded(B.parse(paginated(s, d), "t").drop("t"))
 
 
 def schedules(s: SparkSession, d: str) -> DataFrame:

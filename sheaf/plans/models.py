@@ -13,7 +13,7 @@ from sheaf.operators import panel as P
 from sheaf.operators import series as S
 from sheaf.plans.prices import SPLIT, bars, features, rounded
 from sheaf.plans.reports import feature_panel
-from sheaf.runtime import read
+from sheaf.runtime import read, stored
 
 
 def weekly_panel(s: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,8 @@ def weekly_panel(s: SparkSession, d: str) -> DataFrame:
 
 def run(panel: DataFrame, models: list[V.Model], order: str = "week", folds: DataFrame | None = None, least: int = 20) -> DataFrame:
     folds = V.fold_table(panel.filter(F.col(models[0].target).isNotNull()), order, SPLIT) if folds is None else folds
-    return V.walk_forward(panel, ["series"], models, order, folds, least)
+    # predictions are read by several metrics, fits are made once
+    return stored(V.walk_forward(panel, ["series"], models, order, folds, least), "predictions")
 
 
 def fitted_counts(x: DataFrame) -> DataFrame:
