@@ -43,7 +43,7 @@ def traded(x: DataFrame, position, panel: DataFrame) -> DataFrame:
 
 def direction_models(s: SparkSession, d: str) -> DataFrame:
     """Up or down next week: each trained set with a logistic and a boosted model, its metrics and its backtest."""
-    panel = weekly_panel(s, d)
+    panel = stored(weekly_panel(s, d), "panel")
     models = []
     for c in P.configurations(set=P.TRAINED_SETS, kind=["logit", "boosted_up"]):
         own, text = P.feature_set(panel.columns, c["set"])
@@ -55,7 +55,7 @@ def direction_models(s: SparkSession, d: str) -> DataFrame:
 
 def return_models(s: SparkSession, d: str) -> DataFrame:
     """Next week's return by ridge and boosting over prices with and without the calendar, its errors and its backtest."""
-    panel = weekly_panel(s, d)
+    panel = stored(weekly_panel(s, d), "panel")
     models = [V.Model(P.model_key(c["set"], c["kind"]), tuple(P.feature_set(panel.columns, c["set"])[0]), "target_log_return_next", c["kind"]) for c in P.configurations(set=["price_only", "price_calendar"], kind=["ridge", "boosted"])]
     x = run(panel, models)
     by = ["series", "model"]
@@ -64,7 +64,7 @@ def return_models(s: SparkSession, d: str) -> DataFrame:
 
 def threshold_models(s: SparkSession, d: str) -> DataFrame:
     """Three classes by bands of k times the trailing volatility, for several k and sets."""
-    panel = weekly_panel(s, d)
+    panel = stored(weekly_panel(s, d), "panel")
     runs = P.configurations(k=[0.25, 0.5, 0.75, 1.0], set=["price_only", "price_calendar"])
     panel = panel.withColumns({f"cls_{r['k']}".replace(".", "_"): S.scaled_class(F.col("target_log_return_next"), F.col("price_rolling_vol_12w"), r["k"]) for r in runs})
     models = [V.Model(P.threshold_key(r["k"], r["set"]), tuple(P.feature_set(panel.columns, r["set"])[0]), f"cls_{r['k']}".replace(".", "_"), "classes") for r in runs]
@@ -74,7 +74,7 @@ def threshold_models(s: SparkSession, d: str) -> DataFrame:
 
 def volatility_models(s: SparkSession, d: str) -> DataFrame:
     """Next week's absolute return by ridge; high above the 70 % quantile of what the fold was trained on."""
-    panel = weekly_panel(s, d).withColumn("target_vol", F.abs("target_log_return_next"))
+    panel = stored(weekly_panel(s, d).withColumn("target_vol", F.abs("target_log_return_next")), "panel")
     folds = V.fold_table(panel.filter("target_vol is not null"), "week", SPLIT)
     x = run(panel, [V.Model(n, tuple(P.feature_set(panel.columns, n)[0]), "target_vol") for n in ("price_only", "price_calendar")], folds=folds)
     q = V.assigned(panel.select("series", "week", "target_vol"), folds, "week").filter("role = 'train'").groupBy("series", "fold").agg(F.percentile("target_vol", F.lit(0.7)).alias("q"))
