@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheaf.llm.ledger import letters_and_digits, loads
-from sheaf.runtime import DAY_US, BucketTable, Scratch, exists, fresh_path, get_text, put_text, remove, stored, together
+from sheaf.runtime import DAY_US, BucketTable, Scratch, exists, fresh_path, get_text, put_text, remove, stored
 
 EDITS = 2
 DAYS = 10
@@ -385,7 +385,9 @@ class BatchIndex:
         dates = own.groupBy("tk", "span", "batch").agg(F.min("us").alias("lo"), F.max("us").alias("hi")).withColumns({"batch": F.col("batch").cast("int"), "g": period})
         ids = keyed.groupBy("key").agg(F.min("batch").cast("int").alias("first"))
         words = reach.select("tk", "words", F.col("g").cast("int").alias("g"))
-        together(self.spark, *[lambda t=t, df=df: t.append(df.repartition(buckets, t.key).withColumn("load", load)) for t, df in ((self.segments, segs), (self.titles, words), (self.dates, dates), (self.ids, ids))])
+        # one after the other: at the same time they took half as much memory again
+        for t, df in ((self.segments, segs), (self.titles, words), (self.dates, dates), (self.ids, ids)):
+            t.append(df.repartition(buckets, t.key).withColumn("load", load))
 
     def _matches(self, own: DataFrame, keyed: DataFrame, number: int, hot: int, scratch: Scratch) -> DataFrame:
         titles, buckets = self.new, self.about["buckets"]
