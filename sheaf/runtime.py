@@ -7,9 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 DAY_US = 86_400_000_000
@@ -111,14 +109,6 @@ def get_text(spark: SparkSession, path: str) -> str:
         there.close()
 
 
-def together(spark: SparkSession, *jobs) -> None:
-    """Runs independent jobs at the same time, each from a thread of its own; the first failure is raised once all have ended."""
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        ends = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
-    for e in ends:
-        e.result()
-
-
 class Scratch:
     """Stored tables that are deleted when the work that needs them ends, whether it succeeds or not."""
 
