@@ -6,7 +6,7 @@ import functools
 import heapq
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sheaf.operators.boosting import boosted
 from sheaf.operators.tfidf import STOP_WORDS
+from sheaf.runtime import Scratch, stored
 
 def fold_table(panel: DataFrame, week: str, split: str, window: int = 13, step: int = 13, rolling: int | None = None) -> DataFrame:
     """(fold, train_from, test_from, test_to): from the first week after split in steps, up to the last week.
@@ -133,20 +134,130 @@ def _counted(text: str | None) -> Counter:
     return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
 
 
+def _weights(train: np.ndarray, test: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed weights of length 1 from the terms' counts in each text."""
+    idf = np.log((1 + len(train)) / (1 + (train > 0).sum(axis=0))) + 1
+
+    def weights(x: np.ndarray) -> np.ndarray:
+        x = x * idf
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+
+    return weights(train), weights(test)
+
+
 def _terms(train: pd.Series, test: pd.Series, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the training texts' most frequent words and pairs of words, smoothed and of length 1."""
+    """Weights of the training texts' most frequent words and pairs of words."""
     docs = [_counted(t) for t in train]
     total: Counter = Counter()
     for d in docs:
         total.update(d)
     vocabulary = [t for t, _ in heapq.nsmallest(most, total.items(), key=lambda x: (-x[1], x[0]))]
-    idf = np.array([np.log((1 + len(docs)) / (1 + sum(t in d for d in docs))) + 1 for t in vocabulary])
+    counts = lambda some: np.array([[d[t] for t in vocabulary] for d in some], dtype=float).reshape(len(some), len(vocabulary))
+    return _weights(counts(docs), counts([_counted(t) for t in test]))
 
-    def weights(some: list[Counter]) -> np.ndarray:
-        x = np.array([[d[t] for t in vocabulary] for d in some], dtype=float).reshape(len(some), len(vocabulary)) * idf
-        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
-    return weights(docs), weights([_counted(t) for t in test])
+@dataclass(frozen=True)
+class SharedTerms:
+    """Counts by date (rows) and term (columns, sorted) of texts that all series share; the last row is that of other dates."""
+
+    row: dict
+    counts: np.ndarray
+
+    def weights(self, train: pd.Series, test: pd.Series, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """As _terms, from the dates of the texts."""
+        a, b = (self.counts[[self.row.get(d, -1) for d in some]] for some in (train, test))
+        total = a.sum(axis=0)
+        top = np.argsort(-total, kind="stable")[:most]
+        top = top[total[top] > 0]
+        return _weights(a[:, top], b[:, top])
+
+
+def _leading(term: np.ndarray, at: np.ndarray, n: np.ndarray, sets: np.ndarray, dates: int, most: int) -> np.ndarray:
+    """Which rows (term, date, count) have a term that is among the most frequent of any set of dates.
+
+    sets: a row of packed bits for each. Terms come by their total over all dates, which bounds that
+    over a set: a set is done once its last place can't be taken by any term that is left.
+    """
+    names, code = np.unique(term, return_inverse=True)
+    size = len(names)
+    total = np.bincount(code, n, size).astype(np.int64)
+    turn = np.argsort(-total, kind="stable")
+    rank = np.empty(size, dtype=np.int64)
+    rank[turn] = np.arange(size)
+    by_rank = np.argsort(rank[code], kind="stable")
+    starts = np.searchsorted(rank[code][by_rank], np.arange(size + 1))
+    found = np.zeros(size, dtype=bool)
+    for k in range(0, len(sets), 2048):
+        bits = np.unpackbits(sets[k : k + 2048], axis=1, count=dates).astype(float)
+        best = np.full((len(bits), most), -1, dtype=np.int64)
+        left = np.arange(len(bits))
+        for lo in range(0, size, 256):
+            left = left[best[left].min(axis=1) // size <= total[turn[lo]]]
+            if not len(left):
+                break
+            some = turn[lo : lo + 256]
+            rows = by_rank[starts[lo] : starts[lo + len(some)]]
+            dense = np.zeros((dates, len(some)))
+            np.add.at(dense, (at[rows], rank[code[rows]] - lo), n[rows])
+            sums = (bits[left] @ dense).astype(np.int64)
+            # one number for count and name: of equal counts the first name is ahead
+            keys = np.where(sums > 0, sums * size + (size - 1 - some), -1)
+            best[left] = -np.partition(-np.hstack([best[left], keys]), most - 1, axis=1)[:, :most]
+        found[size - 1 - np.unique(best[best >= 0] % size)] = True
+    return found[code]
+
+
+def shared_terms(panel: DataFrame, by: list[str], models: list[Model], order: str, spans: list[tuple], texts: DataFrame, least: int) -> SharedTerms:
+    """Counts of all terms that are among the most frequent of any series' training part of any fold.
+
+    Texts (order, text) are counted once, not once a series. A term's counts of all dates lie in one
+    group; groups keep the terms that lead there in any training part and meet in fewer groups,
+    in the end in one. To the driver come the distinct training parts, a bit a date, and the last terms.
+    """
+    spark, text = panel.sparkSession, models[0].text
+    parts, most = int(spark.conf.get("spark.sql.shuffle.partitions")), max(m.terms for m in models)
+    kind = panel.schema[order].dataType.simpleString()
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for d, t in zip(pdf[order], pdf[text], strict=True):
+                c = _counted(t)
+                yield pd.DataFrame({order: [d] * len(c), "term": list(c), "n": list(c.values())})
+
+    with Scratch(spark) as scratch:
+        counts = stored(texts.filter(F.col(order).isNotNull()).select(order, text).repartition(parts, order).mapInPandas(counted, f"{order} {kind}, term string, n long"), "terms", scratch)
+        dates = [r[0] for r in counts.select(order).distinct().orderBy(order).collect()]  # bounded by the calendar
+        row = {d: k for k, d in enumerate(dates)}
+
+        def trained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = set()
+                for at in pdf["at"]:
+                    for _, lo, start, _ in spans:
+                        if len(train := [d for d in at if lo <= d < start]) >= least:
+                            bits = np.zeros(len(dates), dtype=bool)
+                            bits[[row[d] for d in train if d in row]] = True
+                            out.add(np.packbits(bits).tobytes())
+                yield pd.DataFrame({"bits": list(out)})
+
+        met = functools.reduce(DataFrame.union, [panel.filter(F.col(t).isNotNull()).groupBy(*by).agg(F.collect_list(order).alias("at")).select("at") for t in dict.fromkeys(m.target for m in models)])
+        bits = met.mapInPandas(trained, "bits binary").distinct().toArrow()["bits"].to_pylist()
+        sets = np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), -(-len(dates) // 8))
+
+        def led(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pdf[_leading(pdf["term"].to_numpy(dtype=object), np.array([row[d] for d in pdf[order]], dtype=int), pdf["n"].to_numpy(), sets, len(dates), most)]
+
+        last, groups = counts, parts
+        while True:
+            last = last.groupBy(F.pmod(F.xxhash64("term"), F.lit(groups))).applyInPandas(led, counts.schema)
+            if groups == 1:
+                break
+            groups = max(1, groups // 64)
+        got = last.toPandas()
+    column = {t: k for k, t in enumerate(sorted(set(got["term"])))}
+    out = np.zeros((len(dates) + 1, len(column)))
+    out[[row[d] for d in got[order]], [column[t] for t in got["term"]]] = got["n"]
+    return SharedTerms(row, out)
 
 
 _STOPPED = frozenset(STOP_WORDS)
@@ -164,12 +275,15 @@ def _imputed(train: pd.DataFrame, test: pd.DataFrame, columns: list[str], scale:
     return (t - mean) / std, (z - mean) / std
 
 
-def fitted(train: pd.DataFrame, test: pd.DataFrame, m: Model) -> tuple[np.ndarray, float | None] | None:
-    """(predictions for test, alpha) of a model; None where classes are asked for and the training part has one only."""
+def fitted(train: pd.DataFrame, test: pd.DataFrame, m: Model, weights: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, float | None] | None:
+    """(predictions for test, alpha) of a model; None where classes are asked for and the training part has one only.
+
+    weights: those of the text's terms, if they are known.
+    """
     y = train[m.target].to_numpy(dtype=float)
     x, z = _imputed(train, test, list(m.columns), not m.kind.startswith("boosted")) if m.columns else (np.zeros((len(train), 0)), np.zeros((len(test), 0)))
     if m.text:
-        a, b = _terms(train[m.text], test[m.text], m.terms)
+        a, b = _terms(train[m.text], test[m.text], m.terms) if weights is None else weights
         x, z = np.hstack([x, a]), np.hstack([z, b])
     if m.kind == "ridge":
         alpha = grid_alpha(x, y) if m.alpha is None else m.alpha
@@ -185,16 +299,18 @@ def fitted(train: pd.DataFrame, test: pd.DataFrame, m: Model) -> tuple[np.ndarra
     return (p[:, -1] if len(m.classes) == 2 else np.array(m.classes, dtype=float)[p.argmax(axis=1)]), None
 
 
-def walk_forward(panel: DataFrame, by: list[str], models: list[Model], order: str, folds: DataFrame, least: int = 20) -> DataFrame:
+def walk_forward(panel: DataFrame, by: list[str], models: list[Model], order: str, folds: DataFrame, least: int = 20, texts: DataFrame | None = None) -> DataFrame:
     """(by, fold, model, order, y_true, y_pred, train_mean, alpha, n_train) of the test rows of each fold and model.
 
     A series' rows go to one task once, whatever the number of folds and models: it has one row
     a day or week, so the calendar bounds it (a repeated key fails). Folds with fewer training rows
-    than `least`, or without test rows, give none.
+    than `least`, or without test rows, give none. texts: (order, text) of models with a text, where
+    all series share them; else the text is a column of the panel.
     """
-    needed = list(dict.fromkeys(c for m in models for c in (*m.columns, m.target, *([m.text] if m.text else []))))
+    needed = list(dict.fromkeys(c for m in models for c in (*m.columns, m.target, *([m.text] if m.text and texts is None else []))))
     spans = [tuple(r) for r in folds.select("fold", "train_from", "test_from", "test_to").orderBy("fold").collect()]  # bounded, see fold_table
     kinds = {**{c: panel.schema[c].dataType.simpleString() for c in [*by, order]}}
+    shared = shared_terms(panel, by, own, order, spans, texts, least) if texts is not None and (own := [m for m in models if m.text]) else None
     schema = ", ".join([f"{c} {kinds[c]}" for c in by] + ["fold int", "model string", f"{order} {kinds[order]}", "y_true double", "y_pred double", "train_mean double", "alpha double", "n_train long"])
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -210,7 +326,10 @@ def walk_forward(panel: DataFrame, by: list[str], models: list[Model], order: st
             for m in models:
                 usable = pdf[m.target].notna()
                 train, test = pdf[past & usable], pdf[now & usable]
-                if len(train) < least or test.empty or (got := fitted(train, test, m)) is None:
+                if len(train) < least or test.empty:
+                    continue
+                weights = shared.weights(train[order], test[order], m.terms) if shared and m.text else None
+                if (got := fitted(train, test, m, weights)) is None:
                     continue
                 out.append(test[[*by, order]].assign(fold=fold, model=m.name, y_true=test[m.target].astype(float), y_pred=got[0], train_mean=train[m.target].astype(float).mean(), alpha=np.nan if got[1] is None else got[1], n_train=len(train))[names])
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)

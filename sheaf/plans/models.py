@@ -16,20 +16,29 @@ from sheaf.plans.reports import feature_panel
 from sheaf.runtime import read, stored
 
 
-def weekly_panel(s: SparkSession, d: str) -> DataFrame:
-    """Weekly features of each series with all blocks: calendar, weather, scores, report words and text, news."""
+def weekly_numbers(s: SparkSession, d: str) -> DataFrame:
+    """Weekly features of each series with the blocks of numbers: calendar, weather, scores, report words, news."""
     more = feature_panel(s, d).drop("close", "volume", "n_reports")
     shipped = read(s, d, "lineitem").select(friday(F.add_months(F.to_date("l_shipdate"), 336)).alias("week"), "l_quantity", "l_discount")
     weather = shipped.groupBy("week").agg(F.avg("l_quantity").alias("weather_quantity"), F.avg("l_discount").alias("weather_discount"))
-    text = N.joined_text(read(s, d, "wwcb_core_text").withColumn("week", friday(F.col("report_date").try_cast("date"))).filter("week is not null"), ["week"], "national_ag_summary", ["bulletin_id"]).drop("report_count")
     x = features(s, d).withColumns(calendar_columns(F.col("week")))
-    return x.join(more, ["series", "week"], "left").join(weather, "week", "left").join(text, "week", "left").na.fill("", ["report_text"])
+    return x.join(more, ["series", "week"], "left").join(weather, "week", "left")
+
+
+def weekly_texts(s: SparkSession, d: str) -> DataFrame:
+    """(week, report_text): all bulletins' texts of a week."""
+    return N.joined_text(read(s, d, "wwcb_core_text").withColumn("week", friday(F.col("report_date").try_cast("date"))).filter("week is not null"), ["week"], "national_ag_summary", ["bulletin_id"]).drop("report_count")
+
+
+def weekly_panel(s: SparkSession, d: str) -> DataFrame:
+    """Weekly features of each series with all blocks: calendar, weather, scores, report words and text, news."""
+    return weekly_numbers(s, d).join(weekly_texts(s, d), "week", "left").na.fill("", ["report_text"])
 
 
-def run(panel: DataFrame, models: list[V.Model], order: str = "week", folds: DataFrame | None = None, least: int = 20) -> DataFrame:
+def run(panel: DataFrame, models: list[V.Model], order: str = "week", folds: DataFrame | None = None, least: int = 20, texts: DataFrame | None = None) -> DataFrame:
     folds = V.fold_table(panel.filter(F.col(models[0].target).isNotNull()), order, SPLIT) if folds is None else folds
     # predictions are read by several metrics, fits are made once
-    return stored(V.walk_forward(panel, ["series"], models, order, folds, least), "predictions")
+    return stored(V.walk_forward(panel, ["series"], models, order, folds, least, texts), "predictions")
 
 
 def fitted_counts(x: DataFrame) -> DataFrame:
@@ -43,12 +52,13 @@ def traded(x: DataFrame, position, panel: DataFrame) -> DataFrame:
 
 def direction_models(s: SparkSession, d: str) -> DataFrame:
     """Up or down next week: each trained set with a logistic and a boosted model, its metrics and its backtest."""
-    panel = stored(weekly_panel(s, d), "panel")
+    # a week's text is that of all series: as a column it would stand there once a series
+    panel = stored(weekly_numbers(s, d), "panel")
     models = []
     for c in P.configurations(set=P.TRAINED_SETS, kind=["logit", "boosted_up"]):
         own, text = P.feature_set(panel.columns, c["set"])
         models.append(V.Model(P.model_key(c["set"], c["kind"]), tuple(own), "target_up_next", c["kind"], classes=(0, 1), text=text))
-    x = run(panel, models)
+    x = run(panel, models, texts=weekly_texts(s, d))
     by = ["series", "model"]
     return rounded(B.binary_metrics(x, by, "y_true", "y_pred").join(fitted_counts(x), by).join(traded(x, B.position_from_probability(F.col("y_pred")), panel), by))
 

@@ -16,6 +16,7 @@ from sheaf.operators import news as N
 from sheaf.operators import panel as P
 from sheaf.operators import series as S
 from sheaf.operators.boosting import boosted
+from sheaf.plans import models as M
 from sheaf.sources import tables as T
 from sheaf.sources.html import anchors, last_page
 
@@ -123,6 +124,52 @@ def test_folds_and_models(spark):
     assert V.fold_table(far, "week", "1899-01-01", 1, 1).count() == (date(2400, 1, 5) - date(1900, 1, 5)).days // 7 + 1
 
 
+def test_leading_terms_of_sets_of_dates():
+    rng = np.random.default_rng(5)
+    dates, names = 11, [f"t{k:03d}" for k in rng.permutation(900)]
+    counts = rng.poisson(1.5 / (1 + np.arange(900) / 20)[:, None] * rng.random((900, dates)))
+    k, at = np.nonzero(counts)
+    masks = rng.random((40, dates)) < 0.4
+    masks[0], masks[1] = False, True
+    keep = V._leading(np.array(names, dtype=object)[k], at, counts[k, at], np.packbits(masks, axis=1), dates, 7)
+    want = set()
+    for m in masks:
+        total = counts[:, m].sum(axis=1)
+        want |= {t for n, t in sorted((-n, t) for n, t in zip(total, names, strict=True) if n)[:7]}
+    assert {names[j] for j in k[keep]} == want and set(k[keep]).isdisjoint(k[~keep])
+
+
+def test_shared_texts_as_in_a_column(spark):
+    rng = np.random.default_rng(6)
+    weeks = [date(2020, 1, 3) + timedelta(weeks=i) for i in range(60)]
+    words = [f"w{k}" for k in range(60)]
+    said = {w: " ".join(rng.choice(words, 25, p=np.arange(60, 0, -1) / 1830)) for w in weeks if w.day != 3}
+    # series with different weeks lead to different terms
+    rows = [(f"s{k}", w, float(rng.normal()), int(rng.random() < 0.5), said.get(w, "")) for k in range(6) for i, w in enumerate(weeks) if (i + k) % (k + 2)]
+    full = spark.createDataFrame(rows, "series string, week date, x double, up int, note string")
+    texts = spark.createDataFrame(list(said.items()), "week date, note string")
+    folds = V.fold_table(full, "week", "2020-09-30", 13, 13)
+    models = [V.Model("text", ("x",), "up", "logit", classes=(0, 1), text="note", terms=5), V.Model("plain", ("x",), "up", "logit", classes=(0, 1))]
+    by = ["series", "fold", "model", "week"]
+    want = V.walk_forward(full, ["series"], models, "week", folds).toPandas().sort_values(by, ignore_index=True)
+    got = V.walk_forward(full.drop("note"), ["series"], models, "week", folds, texts=texts).toPandas().sort_values(by, ignore_index=True)
+    assert len(want) and want[by].equals(got[by]) and np.allclose(want.y_pred, got.y_pred, rtol=0, atol=1e-12)
+    none = V.walk_forward(full.drop("note"), ["series"], models, "week", folds, texts=texts.limit(0)).toPandas()
+    assert len(none) == len(want)
+
+
+def test_a_weeks_text_is_not_copied_to_each_series(spark, monkeypatch):
+    written = {}
+
+    def kept(df, name, scratch=None):
+        written[name] = df.columns
+        return df
+
+    monkeypatch.setattr(M, "stored", kept)
+    M.direction_models(spark, "/root/testdata/sf0.001")
+    assert "report_text" not in written["panel"]
+
+
 def test_boosting_beats_the_mean():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 4))
