@@ -59,9 +59,14 @@ def requests(s: SparkSession, d: str) -> DataFrame:
 
 
 def anomalies(s: SparkSession, d: str) -> DataFrame:
-    """Closes as temperatures: growing degrees and the difference from the week of the year's mean."""
-    x = bars(s, d)
-    return rounded(x.select("series", "date", K.growing_degrees(F.col("close")).alias("gdd"), week_anomaly(x, "close", "date", ["series"]).alias("anomaly")))
+    """Closes as temperatures: growing degrees and the difference from the week of the year's mean.
+
+    Means are taken in the order in which the days came first. Closes have few digits, so that many
+    differences lie halfway between two rounded ones, where the last bit of the sum decides.
+    """
+    came = read(s, d, "daily_prices").groupBy(F.col("symbol").alias("series"), "date").agg(F.min("bar_id").alias("came"))
+    x = bars(s, d).join(came, ["series", "date"])
+    return rounded(x.select("series", "date", K.growing_degrees(F.col("close")).alias("gdd"), week_anomaly(x, "close", "date", ["series"], "came").alias("anomaly")))
 
 
 def price_weather(s: SparkSession, d: str) -> DataFrame:

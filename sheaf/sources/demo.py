@@ -31,9 +31,10 @@ def demo_prices(spark: SparkSession, start: str, end: str, seed: int = 33200) ->
     return x.select("date", "open", (F.greatest("open", "close") * (1 + F.abs(0.002 + 0.001 * F.col("e2")))).alias("high"), (F.least("open", "close") * (1 - F.abs(0.002 + 0.001 * F.col("e3")))).alias("low"), "close", F.col("close").alias("adj_close"), volume.cast("long").alias("volume"))
 
 
-def week_anomaly(df: DataFrame, value: str, week: str, by: list[str] | None = None) -> Column:
-    """A value less the mean of its week of the year."""
-    return F.col(value) - F.avg(value).over(Window.partitionBy(*(by or []), F.weekofyear(week)))
+def week_anomaly(df: DataFrame, value: str, week: str, by: list[str] | None = None, order: str | None = None) -> Column:
+    """A value less the mean of its week of the year, summed up in an order if one is given: a sum's last bit depends on it."""
+    w = Window.partitionBy(*(by or []), F.weekofyear(week))
+    return F.col(value) - F.avg(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) if order else w)
 
 
 def demo_weather(spark: SparkSession, start: str, end: str, seed: int = 8080) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -16,8 +17,10 @@ from sheaf.operators import news as N
 from sheaf.operators import panel as P
 from sheaf.operators import series as S
 from sheaf.operators.boosting import boosted
+from sheaf.plans import bulletins as Q
 from sheaf.plans import models as M
 from sheaf.sources import tables as T
+from sheaf.sources.demo import week_anomaly
 from sheaf.sources.html import anchors, last_page
 
 CLOSES = [20.0, 21.0, 19.0, 22.5, 23.0, 22.0, 24.0, 25.0, 23.5, 26.0, 27.5, 26.5, 28.0, 30.0]
@@ -170,6 +173,34 @@ def test_a_weeks_text_is_not_copied_to_each_series(spark, monkeypatch):
     assert "report_text" not in written["panel"]
 
 
+def test_week_anomalies_are_summed_in_the_order_of_arrival(spark, tmp_path):
+    # 0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ in the last bit
+    closes = [(1, 3, 0.1), (2, 2, 0.2), (3, 5, 0.3), (4, 4, 0.7), (5, 1, 0.6)]
+    for turn in (1, -1):
+        rows = [(k * turn, "a", date(2023, 3, 5 + day), 1.0, c, 10, datetime(2023, 4, 1)) for k, day, c in closes]
+        # a later correction leaves the day where it came first
+        rows.append((9, "a", date(2023, 3, 5 + 4), 1.0, 0.9, 10, datetime(2023, 5, 1)))
+        d = str(tmp_path / f"d{turn}")
+        spark.createDataFrame(rows, "bar_id long, symbol string, date date, open double, close double, volume long, loaded_at timestamp").repartition(3).write.parquet(f"{d}/daily_prices.parquet")
+        total = 0.0
+        for c in [0.1, 0.2, 0.3, 0.9, 0.6][::turn]:
+            total += c
+        x = Q.bars(spark, d).join(spark.createDataFrame([(date(2023, 3, 5 + day), k * turn) for k, day, _ in closes], "date date, came long"), "date")
+        got = {r.date.day - 5: r.a for r in x.select("date", week_anomaly(x, "close", "date", ["series"], "came").alias("a")).collect()}
+        assert got == {day: (0.9 if day == 4 else c) - total / 5 for _, day, c in closes}
+        assert {r.anomaly for r in Q.anomalies(spark, d).collect()} == {round(v, 6) for v in got.values()}
+
+
+def test_week_anomalies_as_sql_on_one_thread(spark):
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute("SET threads=1")
+    con.execute(f"CREATE VIEW daily_prices AS SELECT * FROM '{d}/daily_prices.parquet'")
+    want = con.execute(Q.ORACLE["week_anomalies"]).fetchall()
+    assert sorted(map(tuple, Q.anomalies(spark, d).collect())) == sorted(want)
+
+
 def test_boosting_beats_the_mean():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(600, 4))
